@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarry.llm import secrets
+from quarry.llm import near_dedup, secrets
 
-MODULES = (secrets,)
+MODULES = (secrets, near_dedup)
 
 
 def queries() -> dict:
