@@ -93,12 +93,15 @@ class WordHash(dict):
         return np.fromiter(map(self.__getitem__, found), np.uint64, len(found))
 
 
+def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit hash of each run of `width` words."""
+    n = max(0, len(hashes) - width + 1)
+    total = np.full(n, width, np.uint64)
+    for i in range(width):
+        total = mix64(total * np.uint64(0x9E3779B97F4A7C15) + hashes[i : n + i])
+    return total
+
+
 def shingles(hashes: np.ndarray, n: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of n-word shingles; of a shorter sequence, one hash of the whole; of none, none."""
-    if not len(hashes):
-        return hashes
-    width = min(n, len(hashes))
-    total = np.full(len(hashes) - width + 1, width, np.uint64)
-    for i in range(width):
-        total = mix64(total * np.uint64(0x9E3779B97F4A7C15) + hashes[i : len(hashes) - width + 1 + i])
-    return np.unique(total)
+    return np.unique(window_hashes(hashes, min(n, len(hashes)))) if len(hashes) else hashes

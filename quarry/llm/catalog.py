@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarry.llm import near_dedup, secrets
+from quarry.llm import near_dedup, quality_classifier, quality_rules, secrets
 
-MODULES = (secrets, near_dedup)
+MODULES = (secrets, near_dedup, quality_classifier, quality_rules)
 
 
 def queries() -> dict:
