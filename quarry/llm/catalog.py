@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarry.llm import near_dedup, quality_classifier, quality_rules, secrets
+from quarry.llm import bpe, near_dedup, quality_classifier, quality_rules, secrets, token_counts
 
-MODULES = (secrets, near_dedup, quality_classifier, quality_rules)
+MODULES = (secrets, near_dedup, token_counts, quality_classifier, quality_rules, bpe)
 
 
 def queries() -> dict:
