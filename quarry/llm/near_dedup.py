@@ -29,7 +29,7 @@ BANDS, ROWS = 30, 5
 #: A class in more comparisons than this is copied to several tasks.
 FAN = 256
 #: A bucket with more pairs across its components than this is searched by rare-first prefixes of its sets.
-WIDE = 20_000
+WIDE = 4_000_000
 
 
 def _mix32(x: np.ndarray, spare: np.ndarray) -> None:
@@ -62,28 +62,49 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def bitmap(found: np.ndarray) -> np.ndarray:
+    """A bit for each element, at its last bits' place; a power of two of 64-bit words, at least four bits an element."""
+    size = 1 << max(2, int(np.ceil(np.log2(len(found) / 16))))
+    bits = np.zeros(size * 64, np.uint8)
+    bits[(found & np.uint64(size * 64 - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
+def may_link(x: str, y: str, percent: int) -> Column:
+    """Whether n (set size) and bits of x and y leave room for the link: no pair that reaches `percent` is turned away.
+
+    A bit of one bitmap alone is an element of one set alone, and of |x| + |y| elements at most the share (100 - percent) / (100 + percent)
+    may be in one set alone. The larger bitmap is folded to the smaller one's length.
+    """
+    a, b = F.col(f"{x}.bits"), F.col(f"{y}.bits")
+    both = lambda p, q: p.bitwiseOR(q)
+    fold = lambda p, q: F.when(F.size(p) > F.size(q), F.zip_with(F.slice(p, F.lit(1), F.size(q)), F.slice(p, F.size(q) + 1, F.size(q)), both)).otherwise(p)
+    alone = F.aggregate(F.zip_with(fold(a, b), fold(b, a), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, v: t + v)
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    # Sizes whose ratio allows the link differ by less than twice, so one fold is enough; beyond it the sizes settle it.
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (alone * (100 + percent) <= (n + m) * (100 - percent))
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(id, n_shingles, set_key, bands): set_key is a digest of the whole shingle set, null for an empty one."""
+    """(id, n_shingles, set_key, bands, bits): set_key is a digest of the whole shingle set, null for an empty one."""
 
     def make():
         hashes = WordHash()
 
         def of(ids: pa.Array, texts: pa.Array) -> list:
-            size, keys, buckets = [], [], []
+            out = []
             known: dict[bytes, tuple] = {}
             for text in as_bytes(texts):
                 if text not in known:
                     found = shingles(hashes.of(words(text)), n)
-                    known[text] = (len(found), hashlib.blake2b(found.tobytes(), digest_size=16).digest(), band_keys(signature(found, bands * rows), bands, rows)) if len(found) else (0, None, None)
-                a, b, c = known[text]
-                size.append(a)
-                keys.append(b)
-                buckets.append(c)
-            return [ids, size, keys, buckets]
+                    key = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
+                    known[text] = (len(found), key, band_keys(signature(found, bands * rows), bands, rows), bitmap(found)) if len(found) else (0, None, None, None)
+                out.append(known[text])
+            return [ids, *([row[i] for row in out] for i in range(4))]
 
         return of
 
-    return map_rows(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "id long, n_shingles long, set_key binary, bands array<long>", make)
+    return map_rows(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "id long, n_shingles long, set_key binary, bands array<long>, bits array<long>", make)
 
 
 def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -108,7 +129,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _across(rows: DataFrame, key: str, percent: int) -> DataFrame:
-    """rows (key, node, component, n) -> pairs of nodes of one key and of two components, whose sizes allow the link.
+    """rows (key, node, component, n, bits) -> pairs of nodes of one key and of two components that may be linked.
 
     The key's largest component stands on one side only, so that its many rows are never held against each other.
     """
@@ -119,7 +140,7 @@ def _across(rows: DataFrame, key: str, percent: int) -> DataFrame:
     near = (
         (F.col("x.component") != F.col("y.component"))
         & ((F.col("y.component") == F.col("y.big")) | (F.col("x.node") < F.col("y.node")))
-        & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent)
+        & may_link("x", "y", percent)
     )
     return x.join(y, (F.col(f"x.{key}") == F.col(f"y.{key}")) & near).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
@@ -130,42 +151,45 @@ def _rare_prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> Dat
     A set of n elements that reaches `percent` with another one shares an element with it among the n - ceil(percent * n / 100) + 1
     first, in any common order; here elements in fewer sets come first.
     """
-    nodes = members.select("node", "component").distinct()
+    nodes = members.select("node", "component", "bits").dropDuplicates(["node"])
     each = nodes.join(sets, nodes["node"] == sets["id"]).select("node", "component", F.size("set").alias("n"), F.explode("set").alias("e"))
     each = written(each, "elements")
     rarity = each.groupBy("e").agg(F.count("*").alias("df")).where("df > 1")
     # An element of one set alone meets no other: it takes its place in the order but gives no pair.
     ranked = each.join(rarity, "e", "left").withColumn("place", F.row_number().over(W.partitionBy("node").orderBy(F.coalesce("df", F.lit(1)), "e")))
     prefix = ranked.where(F.col("df").isNotNull() & (F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).select("node", "component", "n", "e")
-    return _across(written(prefix, "prefixes"), "e", percent)
+    return _across(written(prefix.join(nodes.select("node", "bits"), "node"), "prefixes"), "e", percent)
 
 
 def near_duplicates(docs: DataFrame, id_col: str, text_col: str, n: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id), a row for each row of docs."""
     sketch = written(sketches(docs, id_col, text_col, n), "sketches")
-    classes = sketch.where("set_key IS NOT NULL AND id IS NOT NULL").groupBy("set_key").agg(F.min("id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    classes = sketch.where("set_key IS NOT NULL AND id IS NOT NULL").groupBy("set_key").agg(F.min("id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
     classes = written(classes, "classes")
     # Buckets with two classes or more; what is alone in its bucket goes no further.
-    each = classes.select("node", "n", F.explode("bands").alias("h"))
-    shared = each.groupBy("h").agg(F.count("*").alias("size"), F.min("node").alias("first")).where("size > 1")
+    each = classes.select("node", F.explode("bands").alias("h"))
+    shared = each.groupBy("h").agg(F.count("*").alias("size"), F.min("node").alias("first")).where("size > 1").drop("size")
     members = written(each.join(shared, "h"), "members")
-    pairs = members.where("first < node").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    shape = written(classes.select("node", "n", "bits").join(members.select("node").distinct(), "node", "left_semi"), "shapes")
+    stars = members.where("first < node").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = stars.join(shape.select(F.col("node").alias("b"), "n", "bits").alias("y"), "b").join(shape.select(F.col("node").alias("a"), "n", "bits").alias("x"), "a").where(may_link("x", "y", percent)).select("a", "b")
+    pairs = written(pairs, "pairs")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sets = written(shingle_sets(texts.join(members.select(F.col("node").alias("id")).distinct().hint("shuffle_hash"), "id", "left_semi"), n), "sets")
-    links = written(verified(pairs, sets, percent), "links")
+    set_of = lambda p: written(shingle_sets(texts.join(p.select(F.explode(F.array("a", "b")).alias("id")).distinct().hint("shuffle_hash"), "id", "left_semi"), n), "sets")
+    links = written(verified(pairs, set_of(pairs), percent), "links")
     found = written(components(links), "components")
     # Buckets that still hold several components: the pairs across them.
-    label = members.join(found, "node", "left").select("h", "node", "n", "first", F.coalesce("component", "node").alias("component"))
+    label = members.join(found, "node", "left").select("h", "node", F.coalesce("component", "node").alias("component"))
     each = label.groupBy("h", "component").agg(F.count("*").alias("k"))
     split = each.groupBy("h").agg(F.count("*").alias("kinds"), (F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))).alias("twice")).where("kinds > 1")
-    open_ = written(label.join(split.select("h", "twice"), "h"), "open")
+    open_ = written(label.join(split.select("h", "twice"), "h").join(shape, "node"), "open")
     across = _across(open_.where(F.col("twice") <= 2 * WIDE), "h", percent)
     wide = open_.where(F.col("twice") > 2 * WIDE)
     if not wide.isEmpty():
-        across = across.unionByName(_rare_prefix_pairs(wide, sets, percent)).distinct()
-    across = across.join(pairs, ["a", "b"], "left_anti")
-    across = written(across, "across")
-    more = written(verified(across, sets, percent), "links")
+        everyone = wide.select(F.col("node").alias("a"), F.col("node").alias("b")).distinct()
+        across = across.unionByName(_rare_prefix_pairs(wide, set_of(everyone), percent)).distinct()
+    across = written(across.join(pairs, ["a", "b"], "left_anti"), "across")
+    more = written(verified(across, set_of(across), percent), "links")
     if not more.isEmpty():
         found = written(components(links.unionByName(more)), "components")
     named = classes.select("set_key", "node").join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
