@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarry.llm import bpe, lm_scoring, near_dedup, quality_classifier, quality_rules, secrets, token_counts
+from quarry.llm import bpe, lm_scoring, near_dedup, quality_classifier, quality_rules, secrets, token_counts, topk
 
-MODULES = (secrets, near_dedup, token_counts, quality_classifier, quality_rules, bpe, lm_scoring)
+MODULES = (secrets, near_dedup, topk, token_counts, quality_classifier, quality_rules, bpe, lm_scoring)
 
 
 def queries() -> dict:
