@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarry.llm import bpe, lm_scoring, near_dedup, packing, quality_classifier, quality_rules, secrets, token_counts, topk
+from quarry.llm import bpe, lm_scoring, near_dedup, packing, pii, quality_classifier, quality_rules, secrets, token_counts, topk
 
-MODULES = (secrets, near_dedup, topk, packing, token_counts, quality_classifier, quality_rules, bpe, lm_scoring)
+MODULES = (secrets, near_dedup, topk, packing, token_counts, quality_classifier, quality_rules, bpe, lm_scoring, pii)
 
 
 def queries() -> dict:
