@@ -59,6 +59,26 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[list[dict]
     return df.mapInArrow(run, schema)
 
 
+def with_columns(df: DataFrame, needs: list[str], schema: str, make: Callable, slab: int = 512) -> DataFrame:
+    """df with columns added that are computed from the columns `needs`, rows and order kept; whole rows pass, so none is joined back."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    more = _parse_datatype_string(schema)
+    arrow, places = to_arrow_schema(more), [df.columns.index(c) for c in needs]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = make()
+        for batch in batches:
+            for at in range(0, batch.num_rows, slab):
+                part = batch.slice(at, slab)
+                out = f(*(part.column(i) for i in places))
+                new = [pa.array(c, t) if not isinstance(c, pa.Array) else c.cast(t) for c, t in zip(out, arrow.types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *arrow.names])
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, *more.fields]))
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """The texts' UTF-8; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary() if column.type == pa.string() else pa.large_binary()).to_pylist()]

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm._common import as_bytes, documents, map_rows, remainder
+from quarry.llm._common import as_bytes, documents, map_rows, remainder, with_columns
 
 #: At most this many labelled rows are learnt from (those whose ids hash lowest): the driver holds their texts.
 MAX_LABELLED = 3000
@@ -117,15 +117,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLE
     return [r["text"].encode() for r in found], [int(r["quality"] == 1) for r in found]
 
 
-def scored(docs: DataFrame, id_col: str, text_col: str, model: Model) -> DataFrame:
-    """(id, score) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.gain, model.bias))
+def _scorer(spark: SparkSession, model: Model):
+    shared = spark.sparkContext.broadcast((model.gain, model.bias))
 
     def make():
         gain, bias = shared.value
         known: dict[bytes, tuple[float, int]] = {}
 
-        def of(ids: pa.Array, texts: pa.Array) -> list:
+        def of(texts: pa.Array) -> list[float]:
             if len(known) > 400_000:
                 known.clear()
             each = [tokens(t) for t in as_bytes(texts)]
@@ -139,14 +138,36 @@ def scored(docs: DataFrame, id_col: str, text_col: str, model: Model) -> DataFra
                 pairs = np.array([known[w] for w in found]) if found else np.zeros((0, 2))
                 total = pairs.sum(axis=0)
                 margin = bias + (total[0] / total[1] if len(found) else 0.0)
-                scores.append(1 / (1 + np.exp(-np.clip(margin, -500, 500))))
-            return [ids, scores]
+                scores.append(float(1 / (1 + np.exp(-np.clip(margin, -500, 500)))))
+            return scores
 
         return of
 
+    return make
+
+
+def scored(docs: DataFrame, id_col: str, text_col: str, model: Model) -> DataFrame:
+    """(id, score) of every row."""
+    scorer = _scorer(docs.sparkSession, model)
+
+    def make():
+        score = scorer()
+        return lambda ids, texts: [ids, score(texts)]
+
     return map_rows(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), "id long, score double", make, slab=128)
 
 
+def accepted(docs: DataFrame, text_col: str, model: Model, least: float = 0.7) -> DataFrame:
+    """The rows of docs whose score is at least `least`, with all their columns."""
+    scorer = _scorer(docs.sparkSession, model)
+
+    def make():
+        score = scorer()
+        return lambda texts: [score(texts)]
+
+    return with_columns(docs, [text_col], "__quality double", make, slab=128).where(F.col("__quality") >= least).drop("__quality")
+
+
 def fitted(spark: SparkSession, sf_dir: str) -> Model:
     """The model of the tables' labels, without the held-out rows."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality").where(remainder("doc_id", 4) != 2)

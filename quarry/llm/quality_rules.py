@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm._common import WordHash, documents, map_rows, window_hashes, written
+from quarry.llm._common import WordHash, documents, window_hashes, with_columns, written
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
@@ -28,7 +28,8 @@ LEAST_ACCURACY = 0.9
 #: The share of good documents before any vote: a parameter.
 PRIOR = 0.9
 
-SIGNALS = "id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_distinct long, n_letters long, n_capitals long"
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_letters", "n_capitals")
+SIGNALS = ", ".join(f"__{c} long" for c in COUNTS)
 
 
 def repeated_words(hashes: np.ndarray, width: int = WINDOW) -> int:
@@ -46,32 +47,35 @@ def repeated_words(hashes: np.ndarray, width: int = WINDOW) -> int:
     return int((np.cumsum(ends[:-1]) > 0).sum())
 
 
-def signals(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Counts over whole texts."""
+def _counter():
+    hashes = WordHash()
 
-    def make():
-        hashes = WordHash()
+    def of(texts: pa.Array) -> list:
+        rows = []
+        for text in texts.to_pylist():
+            text = text or ""
+            raw = text.encode()
+            found = raw.split()
+            h = hashes.of(found)
+            lines = [x for x in raw.split(b"\n") if x.strip()]
+            spaces = len(raw) - len(raw.translate(None, SPACES))
+            capitals = len(raw) - len(raw.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+            small = len(raw) - len(raw.translate(None, b"abcdefghijklmnopqrstuvwxyz"))
+            rows.append((
+                len(found), len(text) - spaces, len(raw) - len(raw.translate(None, SYMBOLS)), len(lines) - len(set(lines)),
+                repeated_words(h), len(lines), len(np.unique(h)), capitals + small, capitals,
+            ))
+        return [pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 9)]
 
-        def of(ids: pa.Array, texts: pa.Array) -> list:
-            rows = []
-            for text in texts.to_pylist():
-                text = text or ""
-                raw = text.encode()
-                found = raw.split()
-                h = hashes.of(found)
-                lines = [x for x in raw.split(b"\n") if x.strip()]
-                spaces = len(raw) - len(raw.translate(None, SPACES))
-                capitals = len(raw) - len(raw.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
-                small = len(raw) - len(raw.translate(None, b"abcdefghijklmnopqrstuvwxyz"))
-                rows.append((
-                    len(found), len(text) - spaces, len(raw) - len(raw.translate(None, SYMBOLS)), len(lines) - len(set(lines)),
-                    repeated_words(h), len(lines), len(np.unique(h)), capitals + small, capitals,
-                ))
-            return [ids, *(pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 9))]
+    return of
 
-        return of
 
-    return map_rows(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), SIGNALS, make)
+def signals(docs: DataFrame, text_col: str) -> DataFrame:
+    """docs with a struct of counts over whole texts, and the code of the rules' votes on them."""
+    named = votes()
+    code = sum((v * 3**j for j, v in enumerate(named.values())), F.lit(0)).cast("int")
+    counted = with_columns(docs, [text_col], SIGNALS, _counter)
+    return counted.withColumn("__code", code)
 
 
 def _vote(bad: Column, good: Column | None = None) -> Column:
@@ -81,12 +85,13 @@ def _vote(bad: Column, good: Column | None = None) -> Column:
 
 def votes() -> dict[str, Column]:
     """The rules: fixed limits, as documented in the README. Rules of a fault abstain where they do not see it."""
-    c, n = F.col, F.greatest(F.col("n_words"), F.lit(1))
+    c = lambda name: F.col(f"__{name}")
+    n = F.greatest(c("n_words"), F.lit(1))
     return {
         "length": _vote(c("n_words") < 20, c("n_words") >= 40),
         "word_length": _vote((c("word_chars") < 2 * n) | (c("word_chars") > 15 * n), (c("word_chars") >= 3 * n) & (c("word_chars") <= 10 * n)),
         "symbols": _vote(c("n_symbols") * 10 > 3 * n),
-        "lines": _vote(c("n_dup_lines") * 2 > F.greatest("n_lines", F.lit(1))),
+        "lines": _vote(c("n_dup_lines") * 2 > F.greatest(c("n_lines"), F.lit(1))),
         "repeats": _vote(c("n_repeat_words") * 100 > 30 * n),
         "capitals": _vote(c("n_capitals") * 2 > c("n_letters")),
         "variety": _vote(c("n_distinct") * 10 < n, c("n_distinct") * 4 >= n),
@@ -132,26 +137,36 @@ def posterior(patterns: np.ndarray, table: np.ndarray, prior: float = PRIOR) ->
     return 1 / (1 + np.exp(np.clip(bad + np.log(1 - prior) - good - np.log(prior), -500, 500)))
 
 
-def judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Signals of every row with votes' code, posterior, base_failed and kept."""
+def judged(docs: DataFrame, text_col: str, keep_text: bool = True) -> DataFrame:
+    """Every row of docs with __ and each count's name, __posterior, __base_failed and __kept.
+
+    The counted rows are written once; the votes' model is fitted to the table of their codes and brought back by a broadcast.
+    """
     spark = docs.sparkSession
-    named = votes()
-    code = sum((v * 3**j for j, v in enumerate(named.values())), F.lit(0))
-    table = written(signals(docs, id_col, text_col).withColumn("code", code.cast("int")), "signals")
-    counted = table.groupBy("code").count().collect()  # 3 ** 7 rows at most
+    counted_rows = signals(docs, text_col)
+    table = written(counted_rows if keep_text else counted_rows.drop(text_col), "signals")
+    counted = table.groupBy("__code").count().collect()  # 3 ** 7 rows at most
     codes, weights = (np.array([r[i] for r in counted], np.int64) for i in (0, 1))
-    patterns = codes[:, None] // 3 ** np.arange(len(named)) % 3 if len(codes) else np.zeros((0, len(named)), np.int64)
+    patterns = codes[:, None] // 3 ** np.arange(len(votes())) % 3 if len(codes) else np.zeros((0, len(votes())), np.int64)
     good = posterior(patterns, fit(patterns, weights.astype(float)))
-    verdicts = spark.createDataFrame([(int(c), float(g)) for c, g in zip(codes, good, strict=True)], "code int, posterior double")
-    n = F.col("n_words")
-    failed = (n < 20) | (100 * F.col("n_repeat_words") > 30 * n)
-    return table.join(F.broadcast(verdicts), "code").withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5))
+    verdicts = spark.createDataFrame([(int(c), float(g)) for c, g in zip(codes, good, strict=True)], "__code int, __posterior double")
+    n = F.col("__n_words")
+    failed = (n < 20) | (100 * F.col("__n_repeat_words") > 30 * n)
+    return table.join(F.broadcast(verdicts), "__code").withColumn("__base_failed", failed).withColumn("__kept", ~F.col("__base_failed") & (F.col("__posterior") >= 0.5))
+
+
+def accepted(docs: DataFrame, text_col: str) -> DataFrame:
+    """The rows of docs that stay, with their columns."""
+    return judged(docs, text_col).where("__kept").select(*docs.columns)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: its counts, the base verdict, the method's posterior and whether it stays."""
-    found = judged(documents(spark, sf_dir), "doc_id", "text")
-    return found.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+    # Only counts are kept of a text here, so the table that is written is small.
+    docs = documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = judged(docs, "text", keep_text=False)
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+    return found.select("doc_id", *(F.col(f"__{c}").alias(c) for c in names))
 
 
 QUERIES = {"op7_quality_rules": op7_quality_rules}
