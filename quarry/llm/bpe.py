@@ -25,22 +25,21 @@ from quarry.llm._common import documents, map_rows
 from quarry.llm.pretokens import STRETCH, Memory, Splitter, public_path, public_pattern, read_ranks
 
 LONG = 48
-REMEMBERED = 250_000
+REMEMBERED = 600_000
 
+#: The rows of a step are words with the ids left in them; their positions are unnested to be joined with the merge table.
 ENCODE = """
-WITH RECURSIVE step(w, i, p, t) AS (
-  SELECT w, 0, p, t FROM start
+WITH RECURSIVE step(w, ids) AS (
+  SELECT w, list(t ORDER BY p) FROM start GROUP BY w
   UNION ALL
-  (WITH cur AS (
-     SELECT w, i, p, t, lead(t) OVER (PARTITION BY w ORDER BY p) AS next_t, lead(p) OVER (PARTITION BY w ORDER BY p) AS next_p FROM step),
-   best AS (
-     SELECT w, min((o::BIGINT << 32) | p) AS b, arg_min(next_p, (o::BIGINT << 32) | p) AS gone
-     FROM cur JOIN merges ON k = (t::BIGINT << 32) | next_t GROUP BY w)
-   SELECT w, i + 1, p, CASE WHEN p = (b & 4294967295) THEN (b >> 32)::INT ELSE t END FROM cur JOIN best USING (w) WHERE p <> gone)
+  (WITH pair AS (SELECT w, unnest(ids[:-2]) AS t, unnest(ids[2:]) AS next_t, generate_subscripts(ids[2:], 1) AS p FROM step),
+   best AS (SELECT w, min((o::BIGINT << 32) | p) AS b FROM pair JOIN merges ON k = (t::BIGINT << 32) | next_t GROUP BY w)
+   SELECT w, ids[:(b & 4294967295) - 1] || [(b >> 32)::INT] || ids[(b & 4294967295) + 2:] FROM step JOIN best USING (w))
 )
-SELECT w, list(t ORDER BY p) AS ids FROM step JOIN (SELECT w, max(i) AS i FROM step GROUP BY w) USING (w, i) GROUP BY w ORDER BY w"""
+SELECT w, arg_min(ids, len(ids)) AS ids FROM step GROUP BY w"""
 
-DECODE = "SELECT w, string_agg(hex, '' ORDER BY p) AS hex FROM coded JOIN vocabulary USING (t) GROUP BY w"
+#: Runs lie end to end; a group is a stretch of them of bounded length.
+DECODE = "SELECT p // 65536 AS g, string_agg(hex, '' ORDER BY p) AS hex FROM coded JOIN vocabulary USING (t) GROUP BY g ORDER BY g"
 
 
 class Codec:
@@ -48,7 +47,10 @@ class Codec:
         self.ranks, self.split = ranks, Splitter(pattern)
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.tokens = {i: t for t, i in ranks.items()}
-        self.pieces, self.stretches, self.texts = Memory(REMEMBERED), Memory(REMEMBERED), Memory(REMEMBERED)
+        self.pieces, self.stretches, self.texts = Memory(REMEMBERED // 3), Memory(REMEMBERED), Memory(REMEMBERED)
+        self.size = np.zeros(max(ranks.values()) + 1, np.int64)
+        for t, i in ranks.items():
+            self.size[i] = len(t)
         pairs = [(ranks[t[:i]] << 32 | ranks[t[i:]], o) for t, o in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         merges = pa.table({"k": pa.array([k for k, _ in pairs], pa.int64()), "o": pa.array([o for _, o in pairs], pa.int32())})  # noqa: F841
         names = pa.table({"t": pa.array(list(ranks.values()), pa.int32()), "hex": pa.array([t.hex() for t in ranks])})  # noqa: F841
@@ -59,9 +61,11 @@ class Codec:
         """Puts the ids of pre-tokens, as little-endian unsigned 32-bit integers, into `pieces`."""
         raw = [p.encode() for p in pieces]
         for piece, text in zip(pieces, raw, strict=True):
-            if len(text) > LONG:
+            if text in self.ranks:  # a pre-token that is a token needs no merges
+                self.pieces[piece] = self.ranks[text].to_bytes(4, "little")
+            elif len(text) > LONG:
                 self.pieces[piece] = np.array(by_heap(text, self.ranks), "<u4").tobytes()
-        short = [i for i, text in enumerate(raw) if len(text) <= LONG]
+        short = [i for i, text in enumerate(raw) if len(text) <= LONG and text not in self.ranks]
         if not short:
             return
         size = np.fromiter((len(raw[i]) for i in short), np.int64, len(short))
@@ -80,7 +84,7 @@ class Codec:
         cut = [STRETCH.findall(t) for t in texts]
         self.stretches.room()
         self.pieces.room()
-        fresh = {s: self.split(s) for s in {s for found in cut for s in found} - self.stretches.keys()}
+        fresh = {s: self.split(s) for s in set().union(*cut) - self.stretches.keys()}
         if fresh:
             self._merge(list({p for found in fresh.values() for p in found} - self.pieces.keys()))
             self.stretches.update((s, b"".join(map(self.pieces.__getitem__, found))) for s, found in fresh.items())
@@ -89,15 +93,16 @@ class Codec:
     def decode(self, runs: list[list[bytes]]) -> list[bytes]:
         """Of each list of runs of ids the bytes. Decoding a sequence is decoding its runs, which recur."""
         self.texts.room()
-        fresh = list({r for found in runs for r in found} - self.texts.keys())
+        fresh = list(set().union(*runs) - self.texts.keys())
         if fresh:
-            size = np.fromiter(map(len, fresh), np.int64, len(fresh)) // 4
-            coded = pa.table({"w": np.repeat(np.arange(len(fresh), dtype=np.int32), size), "p": np.arange(size.sum(), dtype=np.int32), "t": np.frombuffer(b"".join(fresh), "<u4").astype(np.int32)})
+            ids = np.frombuffer(b"".join(fresh), "<u4").astype(np.int32)
+            coded = pa.table({"p": np.arange(len(ids)), "t": ids})
             self.db.register("coded", coded)
             found = self.db.sql(DECODE).to_arrow_table()
             self.db.unregister("coded")
-            self.texts.update(dict.fromkeys(fresh, b""))
-            self.texts.update((fresh[w], bytes.fromhex(x)) for w, x in zip(found["w"].to_pylist(), found["hex"].to_pylist(), strict=True))
+            whole = b"".join(map(bytes.fromhex, found["hex"].to_pylist()))
+            ends = np.concatenate([[0], np.cumsum(self.size[ids])])[np.cumsum([len(r) // 4 for r in fresh])].tolist()
+            self.texts.update((r, whole[a:b]) for r, a, b in zip(fresh, [0, *ends], ends, strict=False))
         return [b"".join(map(self.texts.__getitem__, found)) for found in runs]
 
 

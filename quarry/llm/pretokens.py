@@ -49,10 +49,11 @@ class Memory(dict):
 
 
 class Splitter:
-    """pattern: a splitting pattern under which white space joins a following word as one space at most."""
+    """pattern: a splitting pattern under which white space joins a following word as one space at most, and letters with it are one pre-token."""
 
     def __init__(self, pattern: str) -> None:
         self.find = regex.compile(pattern).findall
 
     def __call__(self, stretch: str) -> list[str]:
-        return self.find(stretch)
+        letters = stretch[1:] if stretch[0] == " " else stretch
+        return [stretch] if letters.isalpha() and letters.isascii() else self.find(stretch)
