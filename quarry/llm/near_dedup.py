@@ -198,8 +198,8 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, n: int = 5, per
 
 def one_of_each(docs: DataFrame, id_col: str, text_col: str, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that stay: of each component its smallest id, once."""
-    kept = near_duplicates(docs, id_col, text_col, n, percent).where("id = component_id OR id IS NULL").select("id").distinct()
-    stays = docs.join(kept.hint("shuffle_hash"), docs[id_col].cast("long").eqNullSafe(kept["id"])).drop("id")
+    kept = near_duplicates(docs, id_col, text_col, n, percent).where("id = component_id OR id IS NULL").select(F.col("id").alias("__kept")).distinct()
+    stays = docs.join(kept.hint("shuffle_hash"), docs[id_col].cast("long").eqNullSafe(kept["__kept"])).drop("__kept")
     once = W.partitionBy(id_col).orderBy(id_col)
     return stays.withColumn("__copy", F.row_number().over(once)).where(F.col(id_col).isNull() | (F.col("__copy") == 1)).drop("__copy")
 
