@@ -109,8 +109,8 @@ def merge_maps(frames: Sequence[DataFrame], on: Sequence[str], column: str) -> D
     for f in frames[1:]:
         out = out.join(f.select(*on, F.col(column).alias("__r")), list(on), "full")
         none = F.create_map().cast(f.schema[column].dataType)
-        old, new = F.coalesce("__m", none), F.coalesce("__r", none)
-        out = out.withColumn("__m", F.map_concat(F.map_filter(old, lambda k, _, new=new: ~F.map_contains_key(new, k)), new)).drop("__r")
+        out = out.withColumns({"__m": F.coalesce("__m", none), "__r": F.coalesce("__r", none)})
+        out = out.withColumn("__m", F.map_concat(F.map_filter("__m", lambda k, _: ~F.array_contains(F.map_keys("__r"), k)), "__r")).drop("__r")
     return out.withColumnRenamed("__m", column)
 
 

@@ -118,10 +118,10 @@ def chow_scan(df: DataFrame, column: str, by: Sequence[str], order: Sequence[str
     key = W.partitionBy(*by)
     w = key.orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     x = F.col(column).cast("double")
-    t = df.select(*by, *order, F.row_number().over(key.orderBy(*order)).alias("k"), F.sum(x).over(w).alias("s"), F.sum(x * x).over(w).alias("q"), F.count("*").over(key).alias("n"), F.sum(x).over(key).alias("ts"), F.sum(x * x).over(key).alias("tq"))
-    k, n = F.col("k"), F.col("n")
-    whole = F.col("tq") - F.col("ts") * F.col("ts") / n
-    parts = F.col("tq") - F.col("s") * F.col("s") / k - (F.col("ts") - F.col("s")) * (F.col("ts") - F.col("s")) / F.when(n > k, n - k)
+    t = df.select(*by, F.row_number().over(key.orderBy(*order)).alias("k"), F.sum(x).over(w).alias("s"), F.sum(x * x).over(w).alias("q"), F.count("*").over(key).alias("n"), F.sum(x).over(key).alias("all_s"), F.sum(x * x).over(key).alias("all_q"))
+    k, n, rest = F.col("k"), F.col("n"), F.col("all_s") - F.col("s")
+    whole = F.col("all_q") - F.col("all_s") * F.col("all_s") / n
+    parts = F.col("all_q") - F.col("s") * F.col("s") / k - rest * rest / F.when(n > k, n - k)
     f = (whole - parts) / (parts / (n - 2))
     ok = t.where((k >= least) & (n - k >= least)).withColumn("f", f)
     return ok.groupBy(*by).agg(F.max_by("k", F.struct("f", -k)).alias("at"), F.max("f").alias("f"))

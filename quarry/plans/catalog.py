@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.plans import analysis, fitted, relational, series  # noqa: F401  they register their queries
+from quarry.plans.registry import ORACLES, QUERIES
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Revenue by return flag and line status."""
@@ -20,8 +23,8 @@ FROM lineitem GROUP BY 1, 2"""
 
 
 def queries() -> dict:
-    return {"flagship": flagship}
+    return {"flagship": flagship, **QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"flagship": FLAGSHIP_SQL}
+    return {"flagship": FLAGSHIP_SQL, **ORACLES}
