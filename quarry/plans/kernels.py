@@ -131,3 +131,10 @@ def _(t):
 @query("chart_calibration", "WITH b AS (SELECT CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END y, l_quantity / 50 p FROM lineitem) SELECT CAST(least(floor(p * 10), 9) AS BIGINT) AS bin, count(*) AS n, round(avg(p), 8) AS predicted, round(avg(y), 8) AS observed FROM b GROUP BY 1")
 def _(t):
     return rounded(ch.calibration(t("lineitem").select((F.col("l_returnflag") == "R").cast("int").alias("y"), (F.col("l_quantity") / 50).alias("p")), "y", "p"), 8)
+
+
+@query("drift_points")
+def _(t):
+    from quarry.operators.control import drift_points
+
+    return drift_points(_series(t).withColumn("value", F.when(F.col("user_id") % 2 == 0, F.col("value") + 100 * (F.col("ts") > F.lit("2024-01-15").cast("timestamp_ntz")).cast("int")).otherwise(F.col("value"))), "user_id", ORDER, "value")
