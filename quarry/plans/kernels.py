@@ -138,3 +138,48 @@ def _(t):
     from quarry.operators.control import drift_points
 
     return drift_points(_series(t).withColumn("value", F.when(F.col("user_id") % 2 == 0, F.col("value") + 100 * (F.col("ts") > F.lit("2024-01-15").cast("timestamp_ntz")).cast("int")).otherwise(F.col("value"))), "user_id", ORDER, "value")
+
+
+# Selection and model-based imputation
+
+_LINE = ["l_quantity", "l_discount", "l_tax"]
+
+
+@query("forward_selection")
+def _(t):
+    from quarry.operators.selection import forward
+
+    x = t("lineitem")
+    return x.sparkSession.createDataFrame(forward(x, _LINE, "l_extendedprice", 3), "name string, r2 double")
+
+
+@query("backward_selection")
+def _(t):
+    from quarry.operators.selection import backward
+
+    x = t("lineitem")
+    return x.sparkSession.createDataFrame([(c,) for c in backward(x, _LINE, "l_extendedprice", 2)], "name string")
+
+
+@query("shapley_selection")
+def _(t):
+    from quarry.operators.selection import shapley
+
+    x = t("lineitem")
+    return x.sparkSession.createDataFrame(shapley(x, _LINE, "l_extendedprice"), "name string, value double")
+
+
+@query("regression_imputation")
+def _(t):
+    from quarry.operators.imputers import by_regression
+
+    p = _parts(t).withColumn("v", F.when(F.col("p_partkey") % 9 != 0, F.col("x") * 2 + F.col("y")))
+    return by_regression(p.select("p_partkey", "x", "y", "v"), ["x", "y", "v"])
+
+
+@query("normal_imputation")
+def _(t):
+    from quarry.operators.imputers import by_normal_law
+
+    p = _parts(t).withColumn("v", F.when(F.col("p_partkey") % 9 != 0, F.col("x") * 2 + F.col("y")))
+    return by_normal_law(p.select("p_partkey", "x", "y", "v"), ["x", "y", "v"])

@@ -56,12 +56,12 @@ def _(t):
 
 @query(
     "merge_outer_three",
-    """WITH a AS (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1), b AS (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1), c AS (SELECT n_nationkey AS k, n_name FROM nation WHERE n_nationkey < 20)
+    """WITH a AS (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1), b AS (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1), c AS (SELECT n_nationkey + 3 AS k, n_name FROM nation)
     SELECT coalesce(a.k, b.k, c.k) AS k, a.n AS n, b.n AS n_y, n_name FROM a FULL JOIN b ON a.k = b.k FULL JOIN c ON coalesce(a.k, b.k) = c.k""",
 )
 def _(t):
     a, b = (t(x).groupBy(F.col(k).alias("k")).agg(F.count("*").alias("n")) for x, k in (("customer", "c_nationkey"), ("supplier", "s_nationkey")))
-    return r.merge([a, b, t("nation").where("n_nationkey < 20").select(F.col("n_nationkey").alias("k"), "n_name")], ["k"], "full")
+    return r.merge([a, b, t("nation").select((F.col("n_nationkey") + 3).alias("k"), "n_name")], ["k"], "full")
 
 
 @query(

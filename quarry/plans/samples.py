@@ -15,10 +15,10 @@ from quarry.plans.relational import h
 
 
 def _m(t):
-    return m.to_cells(t("part").where("p_partkey <= 60"), "p_partkey", ["p_size", "p_retailprice"])
+    return m.to_cells(t("part"), "p_partkey", ["p_size", "p_retailprice"])
 
 
-_CELLS = "m AS (SELECT p_partkey i, unnest([0, 1])::BIGINT j, unnest([p_size::DOUBLE, p_retailprice]) v FROM part WHERE p_partkey <= 60)"
+_CELLS = "m AS (SELECT p_partkey i, unnest([0, 1])::BIGINT j, unnest([p_size::DOUBLE, p_retailprice]) v FROM part)"
 query("matrix_transpose", f"WITH {_CELLS} SELECT j AS i, i AS j, v FROM m WHERE v <> 0")(lambda t: m.transpose(_m(t)))
 query("matrix_gram", f"WITH {_CELLS} SELECT a.j AS i, b.j AS j, round(sum(a.v * b.v), 2) AS v FROM m a JOIN m b USING (i) GROUP BY 1, 2")(lambda t: rounded(m.multiply(m.transpose(_m(t)), _m(t)), 2))
 query("matrix_norm", f"WITH {_CELLS} SELECT round(sqrt(sum(v * v)), 4) AS norm FROM m")(lambda t: rounded(m.frobenius(_m(t)), 4))
