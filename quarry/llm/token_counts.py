@@ -73,7 +73,7 @@ class Counter:
         """Pre-tokens and tokens of a text."""
         known, found = self.stretches, STRETCH.findall(text)
         known.room()
-        for s in set(found) - known.keys():
+        for s in [s for s in set(found) if s not in known]:
             pieces = self.split(s)
             known[s] = (len(pieces), sum(self.trie.count(p.encode()) for p in pieces))
         pieces = tokens = 0
