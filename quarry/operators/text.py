@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,17 +17,23 @@ def split_words(x: Column) -> Column:
     return F.filter(F.split(F.lower(x), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def _once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x, with x computed once: a lambda's variable is a value, where a Column inside a lambda would be computed for each element."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
+def _places(length: Column, n: int) -> Column:
+    last = length - n + 1
+    return F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+
+
 def word_ngrams(tokens: Column, n: int) -> Column:
     """Runs of n words joined by a space."""
-    last = F.size(tokens) - n + 1
-    at = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
+    return _once(tokens, lambda w: F.transform(_places(F.size(w), n), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " ")))
 
 
 def char_ngrams(x: Column, n: int) -> Column:
-    last = F.length(x) - n + 1
-    at = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.substring(x, i, F.lit(n)))
+    return _once(x, lambda t: F.transform(_places(F.length(t), n), lambda i: F.substring(t, i, F.lit(n))))
 
 
 def gram_counts(df: DataFrame, grams: Column, least: int = 1) -> DataFrame:
@@ -65,10 +71,9 @@ def find_all(x: Column, pattern: str) -> Column:
 
 def kmer_cosine(a: Column, b: Column, k: int) -> Column:
     """Cosine of the k-mer counts of two texts."""
-    x, y = char_ngrams(a, k), char_ngrams(b, k)
     dot = lambda p, q: F.aggregate(F.transform(p, lambda g: F.size(F.filter(q, lambda h: h == g))), F.lit(0), lambda s, v: s + v)
-    norm = F.sqrt(dot(x, x) * dot(y, y))
-    return F.when(norm > 0, dot(x, y) / norm).otherwise(0.0)
+    cosine = lambda x, y: F.when(dot(x, x) * dot(y, y) > 0, dot(x, y) / F.sqrt(dot(x, x) * dot(y, y))).otherwise(0.0)
+    return _once(char_ngrams(a, k), lambda x: _once(char_ngrams(b, k), lambda y: cosine(x, y)))
 
 
 # Date-time
