@@ -134,15 +134,19 @@ def _across(rows: DataFrame, key: str, percent: int) -> DataFrame:
     The key's largest component stands on one side only, so that its many rows are never held against each other.
     """
     sizes = rows.groupBy(key, "component").agg(F.count("*").alias("size"))
-    big = sizes.groupBy(key).agg(F.max(F.struct("size", "component"))["component"].alias("big"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
-    labelled = rows.join(big, key)
-    x, y = labelled.where("component != big").alias("x"), labelled.alias("y")
+    big = sizes.groupBy(key).agg(F.max(F.struct("size", "component"))["component"].alias("big"), F.count("*").alias("kinds"), F.ceil(F.sum("size") / FAN).alias("parts")).where("kinds > 1").drop("kinds")
+    labelled = rows.join(written(big, "big"), key)
+    # A large key is dealt over `parts` tasks: one side by node, the other, without the largest component, copied to each.
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    x = labelled.where("component != big").withColumn("part", every).alias("x")
+    y = labelled.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("y")
     near = (
         (F.col("x.component") != F.col("y.component"))
         & ((F.col("y.component") == F.col("y.big")) | (F.col("x.node") < F.col("y.node")))
         & may_link("x", "y", percent)
     )
-    return x.join(y, (F.col(f"x.{key}") == F.col(f"y.{key}")) & near).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    met = x.join(y, (F.col(f"x.{key}") == F.col(f"y.{key}")) & (F.col("x.part") == F.col("y.part")) & near)
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def _rare_prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -169,7 +173,8 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, n: int = 5, per
     # Buckets with two classes or more; what is alone in its bucket goes no further.
     each = classes.select("node", F.explode("bands").alias("h"))
     shared = each.groupBy("h").agg(F.count("*").alias("size"), F.min("node").alias("first")).where("size > 1").drop("size")
-    members = written(each.join(shared, "h"), "members")
+    # Aggregates on h are written before they are joined, so that a large h can be split between tasks.
+    members = written(each.join(written(shared, "shared"), "h"), "members")
     shape = written(classes.select("node", "n", "bits").join(members.select("node").distinct(), "node", "left_semi"), "shapes")
     stars = members.where("first < node").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     pairs = stars.join(shape.select(F.col("node").alias("b"), "n", "bits").alias("y"), "b").join(shape.select(F.col("node").alias("a"), "n", "bits").alias("x"), "a").where(may_link("x", "y", percent)).select("a", "b")
@@ -182,7 +187,7 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, n: int = 5, per
     label = members.join(found, "node", "left").select("h", "node", F.coalesce("component", "node").alias("component"))
     each = label.groupBy("h", "component").agg(F.count("*").alias("k"))
     split = each.groupBy("h").agg(F.count("*").alias("kinds"), (F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))).alias("twice")).where("kinds > 1")
-    open_ = written(label.join(split.select("h", "twice"), "h").join(shape, "node"), "open")
+    open_ = written(label.join(written(split.select("h", "twice"), "split"), "h").join(shape, "node"), "open")
     across = _across(open_.where(F.col("twice") <= 2 * WIDE), "h", percent)
     wide = open_.where(F.col("twice") > 2 * WIDE)
     if not wide.isEmpty():
