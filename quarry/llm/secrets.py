@@ -93,9 +93,10 @@ def scan_versions(versions: DataFrame, ledger_path: str, rules: tuple[Rule, ...]
     # One path for each blob that the ledger lacks; combined before the shuffle, so a blob of many copies is one row a task.
     unseen = rows.groupBy("blob").agg(F.min(F.coalesce("path", F.lit(""))).alias("path")).join(seen, "blob", "left_anti")
     fresh = texts.join(unseen.hint("shuffle_hash"), "path").where(F.unhex(F.sha2("text", 256)) == F.col("blob"))
-    done = scan_texts(fresh, "text", rules).select("blob", F.lit(rule_version).alias("rule_version"), "spans")
+    done = scan_texts(fresh, "text", rules).select("blob", F.lit(rule_version).alias("rule_version"), "spans").dropDuplicates(["blob"])
     done.write.mode("append").parquet(ledger_path)
-    found = read_ledger(spark, ledger_path).where((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).groupBy("blob").agg(F.first("spans").alias("spans"))
+    found = read_ledger(spark, ledger_path).where((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).select("blob", "spans")
+    # Nothing but the exchange stands before this join, so that the rows of a blob of very many copies are split between tasks.
     return rows.join(found, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(f"array<{SPAN}>")))
 
 
