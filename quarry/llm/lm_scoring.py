@@ -1,12 +1,12 @@
 """LM scoring by prediction by partial matching (PPM) over bytes, pretrained on the corpus, beside a unigram base.
 
 Training counts, over all training documents, every byte with the ORDER bytes before it; a text begins after START bytes and
-ends with END, bytes that UTF-8 never holds. These counts make a trie of contexts. A node stays in the model if its share of
-all training bytes is at least KEEP, whatever the corpus's size, so an order has 1 / KEEP nodes at most: that bounds the
-broadcast. What is not kept counts towards its context's escape. In a context seen n times with t symbols, a kept symbol of count
-c has probability c / (n + t); the rest is the escape, and the next shorter context is asked with the symbols of the longer
-one excluded. As a kept symbol is kept in every shorter context too, the excluded count at a context depends on the longer
-context alone, and is found when the model is built; scoring is a few vector look-ups a byte.
+ends with END, bytes that UTF-8 never holds. These counts make a trie of contexts, and every counted node is in the model. In a
+context seen n times with t symbols, a symbol of count c has probability c / (n + t); the rest is the escape, and the next
+shorter context is asked with the symbols of the longer one excluded. So a byte's probability depends on its gram (it and
+the ORDER bytes before it) alone: a table holds that of every gram of the texts. A trained gram needs the sums of its longest
+context only; the grams of held-out texts that training lacks go down the orders by joins. Grams that make a share of COMMON
+or more of all bytes to be scored (1 / COMMON grams at most) are broadcast and never shuffled; all others are joined.
 
 The base needs every word's count, without a bound on distinct words: words of a share of FREQUENT or more (1 / FREQUENT words
 at most) are broadcast and never shuffled, so no key is hot; all others are joined.
@@ -23,14 +23,14 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm._common import as_bytes, documents, map_rows, remainder, words, written
 
 ORDER = 5
 START, END = 0xFE, 0xFF
-KEEP = 1e-6
+COMMON = 1e-7
 FREQUENT = 1e-5
 PIECE = 1 << 20
 
@@ -52,46 +52,60 @@ def grams(texts: list[bytes]) -> np.ndarray:
 
 
 def corpus_counts(texts: DataFrame) -> DataFrame:
-    """(text) -> (kind, key, c): words and byte grams with their counts; combined in each task before the shuffle."""
+    """(text[, held]) -> (kind, key, c, h): words and byte grams with their counts; combined in each task before the shuffle.
+
+    Texts that are held out train nothing: h counts their grams, and their words are not counted.
+    """
+    held_out = F.col("held") if "held" in texts.columns else F.lit(False)
 
     def run(batches):
         seen: Counter = Counter()
-        keys, counts, held = [], [], 0
-        schema = pa.schema([("kind", pa.int32()), ("key", pa.binary()), ("c", pa.int64())])
+        keys, counts, held = ([], []), ([], []), 0  # of training texts, and of those held out
+        schema = pa.schema([("kind", pa.int32()), ("key", pa.binary()), ("c", pa.int64()), ("h", pa.int64())])
 
-        def rows(kind: int, names: pa.Array, c: pa.Array) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(c), kind, np.int32)), names, c], schema=schema)
+        def rows(kind: int, names: pa.Array, c: pa.Array, out: bool = False) -> pa.RecordBatch:
+            none = pa.array(np.zeros(len(c), np.int64))
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(c), kind, np.int32)), names, *((none, c) if out else (c, none))], schema=schema)
 
         def spilled():
             nonlocal held
             if seen:
                 yield rows(WORD, pa.array(list(seen.keys()), pa.binary()), pa.array(list(seen.values()), pa.int64()))
-            if keys:
-                key, count = _summed(keys, counts)
-                raw = key.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - ORDER - 1 :]
-                yield rows(GRAM, pa.FixedSizeBinaryArray.from_buffers(pa.binary(ORDER + 1), len(key), [None, pa.py_buffer(np.ascontiguousarray(raw))]).cast(pa.binary()), pa.array(count))
+            for out in (0, 1):
+                if keys[out]:
+                    key, count = _summed(keys[out], counts[out])
+                    raw = key.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - ORDER - 1 :]
+                    yield rows(GRAM, pa.FixedSizeBinaryArray.from_buffers(pa.binary(ORDER + 1), len(key), [None, pa.py_buffer(np.ascontiguousarray(raw))]).cast(pa.binary()), pa.array(count), bool(out))
+                keys[out].clear()
+                counts[out].clear()
             seen.clear()
-            keys.clear()
-            counts.clear()
             held = 0
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                found = as_bytes(batch.slice(at, 256).column(0))
-                for text in found:
-                    seen.update(words(text))
-                key, count = np.unique(grams(found), return_counts=True)
-                keys.append(key)
-                counts.append(count)
-                held += len(key)
+                part = batch.slice(at, 256)
+                found, outs = as_bytes(part.column(0)), part.column(1).to_pylist()
+                for text, out in zip(found, outs, strict=True):
+                    if not out:
+                        seen.update(words(text))
+                for out in (0, 1):
+                    some = [t for t, o in zip(found, outs, strict=True) if o == out]
+                    if some:
+                        key, count = np.unique(grams(some), return_counts=True)
+                        keys[out].append(key)
+                        counts[out].append(count)
+                        held += len(key)
                 if held > 1_500_000:
-                    merged = _summed(keys, counts)
-                    keys[:], counts[:], held = [merged[0]], [merged[1]], len(merged[0])
+                    for out in (0, 1):
+                        if keys[out]:
+                            merged = _summed(keys[out], counts[out])
+                            keys[out][:], counts[out][:] = [merged[0]], [merged[1]]
+                    held = sum(len(k) for out in keys for k in out)
                 if len(seen) > 400_000 or held > 1_000_000:
                     yield from spilled()
         yield from spilled()
 
-    return texts.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "kind int, key binary, c long").groupBy("kind", "key").agg(F.sum("c").alias("c"))
+    return texts.select(F.col("text").cast("string").alias("text"), held_out.alias("held")).mapInArrow(run, "kind int, key binary, c long, h long").groupBy("kind", "key").agg(F.sum("c").alias("c"), F.sum("h").alias("h"))
 
 
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -102,17 +116,61 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return key[first], np.add.reduceat(count, first)
 
 
+def gram_counts(counts: DataFrame) -> DataFrame:
+    """(key, c, h): the grams as numbers."""
+    return counts.where(F.col("kind") == GRAM).select(F.conv(F.hex("key"), 16, 10).cast("long").alias("key"), "c", "h")
+
+
+def lower(key: Column, order: int) -> Column:
+    """A gram's last byte and the `order` before it."""
+    return key.bitwiseAND(F.lit((1 << 8 * (order + 1)) - 1))
+
+
+def contexts(nodes: DataFrame) -> DataFrame:
+    """(ctx, n, t, symbols) of nodes (key, c, ...): a row holds 256 symbols at most; grams without training have c = 0."""
+    symbol = F.struct(lower(F.col("key"), 0).alias("s"), *(c for c in nodes.columns if c != "key"))
+    return nodes.groupBy(F.shiftright("key", 8).alias("ctx")).agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("t"), F.collect_list(symbol).alias("symbols"))
+
+
+def gram_gains(counts: DataFrame) -> DataFrame:
+    """(key, uses, gain) of every gram: how often the texts have it, and log10 of its last byte's probability after the others."""
+    every = gram_counts(counts)
+    trained = lambda: F.filter("symbols", lambda x: x["c"] > 0)
+    top = contexts(every).select("ctx", "n", "t", "symbols", trained().alias("seen"))
+    each = top.select("ctx", "n", "t", F.when(F.size("seen") < F.size("symbols"), F.transform("seen", lambda x: x["s"])).alias("seen"), F.explode("symbols").alias("x"))
+    known = F.col("x.c") > 0
+    gain = F.when(known, F.log10(F.col("x.c") / (F.col("n") + F.col("t")))).when(F.col("n") > 0, F.log10(F.col("t") / (F.col("n") + F.col("t")))).otherwise(0.0)
+    first = written(each.select((F.shiftleft("ctx", 8) + F.col("x.s")).alias("key"), (F.col("x.c") + F.col("x.h")).alias("uses"), gain.alias("gain"), known.alias("known"), F.when(~known, F.col("seen")).alias("seen")), "gains")
+    walk = first.where(~F.col("known"))
+    nodes, symbols = every.where("c > 0").select("key", "c"), 0
+    for order in range(ORDER - 1, -1, -1):
+        nodes = written(nodes.groupBy(lower(F.col("key"), order).alias("key")).agg(F.sum("c").alias("c")), f"nodes{order}")
+        there = contexts(nodes)
+        if order < 3:  # 256 ** order rows at most
+            there = F.broadcast(there)
+        at = F.shiftright(lower(F.col("key"), order), 8)
+        found = walk.withColumn("ctx", at).join(there, "ctx", "left")
+        own = F.get(F.filter("symbols", lambda x: x["s"] == lower(F.col("key"), 0)), F.lit(0))["c"]
+        excluded = F.aggregate(F.filter("symbols", lambda x: F.array_contains("seen", x["s"])), F.lit(0).cast("long"), lambda total, x: total + x["c"])
+        ask = ~F.col("known") & F.col("n").isNotNull()
+        found = found.select("*", own.alias("own"), (F.col("n") + F.col("t") - F.coalesce(excluded, F.lit(0))).alias("whole"))
+        walk = found.select(
+            "key", "uses", (F.col("gain") + F.when(ask, F.log10(F.coalesce("own", "t") / F.col("whole"))).otherwise(0.0)).alias("gain"),
+            (F.col("known") | (ask & F.col("own").isNotNull())).alias("known"), F.when(ask, F.transform("symbols", lambda x: x["s"])).otherwise(F.col("seen")).alias("seen"),
+        )
+        symbols = nodes.count() if order == 0 else symbols  # 256 at most
+    novel = written(walk.select("key", "uses", F.col("gain") - F.when(F.col("known"), 0.0).otherwise(math.log10(max(1, 256 - symbols)))), "novel").toDF("key", "uses", "gain")
+    return first.where("known").select("key", "uses", "gain").unionByName(novel)
+
+
 def kept_nodes(counts: DataFrame) -> tuple[int, np.ndarray]:
-    """All training bytes, and the kept nodes: rows of (order, key, c, n, t), n and t of the node's whole context."""
-    number = F.conv(F.hex("key"), 16, 10).cast("long")
-    full = counts.where(F.col("kind") == GRAM).select(number.alias("g"), "c")
+    """All training bytes, and all nodes: rows of (order, key, c, n, t), n and t of the node's whole context. The driver holds them: for small corpora."""
+    full = gram_counts(counts).where("c > 0")
     total = full.agg(F.sum("c")).first()[0] or 0
-    order = F.explode(F.sequence(F.lit(0), F.lit(ORDER))).alias("k")
-    each = full.select("g", "c", order).select("k", F.col("g").bitwiseAND(F.expr("shiftleft(1L, 8 * (k + 1)) - 1")).alias("key"), "c")
-    nodes = each.groupBy("k", "key").agg(F.sum("c").alias("c"))
-    contexts = nodes.groupBy("k", F.shiftright("key", 8).alias("ctx")).agg(F.sum("c").alias("n"), F.count("*").alias("t"))
-    kept = nodes.where(F.col("c") >= max(1.0, KEEP * total)).withColumn("ctx", F.shiftright("key", 8))
-    found = kept.join(contexts, ["k", "ctx"]).select("k", "key", "c", "n", "t").toArrow()  # 1 / KEEP rows for an order at most
+    each = full.select("key", "c", F.explode(F.sequence(F.lit(0), F.lit(ORDER))).alias("k")).select("k", F.col("key").bitwiseAND(F.expr("shiftleft(1L, 8 * (k + 1)) - 1")).alias("key"), "c")
+    nodes = each.groupBy("k", "key").agg(F.sum("c").alias("c")).withColumn("ctx", F.shiftright("key", 8))
+    sums = nodes.groupBy("k", "ctx").agg(F.sum("c").alias("n"), F.count("*").alias("t"))
+    found = nodes.join(sums, ["k", "ctx"]).select("k", "key", "c", "n", "t").toArrow()
     return total, np.stack([found.column(c).to_numpy().astype(np.int64) for c in ("k", "key", "c", "n", "t")])
 
 
@@ -154,7 +212,7 @@ class Table:
 
 
 class Ppm:
-    """nodes: rows of (order, key, c, n, t) of the kept nodes."""
+    """The same model in memory, for small corpora; nodes: rows of (order, key, c, n, t)."""
 
     def __init__(self, nodes: np.ndarray) -> None:
         self.symbols, self.contexts = [], []
@@ -218,30 +276,45 @@ class Ppm:
         return total
 
 
-_MODELS: dict[str, tuple] = {}
+def looked_up(texts: list[bytes], keys: np.ndarray, gains: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Of each text the sum of the gains of its grams among `keys` (sorted), and a list of its other grams."""
+    key = grams(texts)
+    each, inverse = np.unique(key, return_inverse=True)
+    at = np.minimum(np.searchsorted(keys, each), max(0, len(keys) - 1))
+    hit = keys[at] == each if len(keys) else np.zeros(len(each), bool)
+    gain, other = np.where(hit, gains[at] if len(keys) else 0.0, 0.0)[inverse], ~hit[inverse]
+    starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+    left = np.concatenate([[0], np.cumsum(other)])[starts]
+    return np.add.reduceat(gain, starts[:-1]), pa.ListArray.from_arrays(pa.array(left.astype(np.int32)), pa.array(key[other].astype(np.int64)))
+
+
+_GAINS: dict[str, dict] = {}
 
 
-def scored(docs: DataFrame, id_col: str, text_col: str, training: DataFrame) -> DataFrame:
-    """(id, n_tokens, n_known, train_tokens, base_score, score) of every row; training: a DataFrame with a column text."""
+def scored(docs: DataFrame, id_col: str, text_col: str, held_out: Column) -> DataFrame:
+    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; the rows not held out are trained on."""
     spark = docs.sparkSession
-    counts = written(corpus_counts(training), "counts")
+    texts = docs.select(F.col(text_col).alias("text"), held_out.alias("held"))
+    counts = written(corpus_counts(texts), "counts")
     vocabulary = counts.where(F.col("kind") == WORD).select(F.col("key").alias("word"), "c")
-    ends = training.count()
+    ends = texts.where(~F.col("held")).count()
     size = vocabulary.agg(F.sum("c"), F.count("*")).first()
     n, v = (size[0] or 0) + ends, size[1] + (1 if ends else 0)
     often = {bytes(r["word"]): r["c"] for r in vocabulary.where(F.col("c") >= max(1.0, FREQUENT * n)).toLocalIterator()}  # 1 / FREQUENT at most
-    _, nodes = kept_nodes(counts)
-    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, nodes, often))
+    gained = gram_gains(counts)
+    least = max(1.0, COMMON * (counts.where(F.col("kind") == GRAM).agg(F.sum(F.col("c") + F.col("h"))).first()[0] or 0))
+    common = gained.where(F.col("uses") >= least).select("key", "gain").toArrow().sort_by("key")  # 1 / COMMON at most
+    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, common["key"].to_numpy().astype(np.uint64), common["gain"].to_numpy(), often))
     end_gain = math.log10(ends + 1)
 
     def make():
-        name, node_rows, frequent = shared.value
-        if name not in _MODELS:  # a worker serves many tasks
-            _MODELS.clear()
-            _MODELS[name] = (Ppm(node_rows), {w: math.log10(c + 1) for w, c in frequent.items()})
-        ppm, gain = _MODELS[name]
+        name, keys, gains_, frequent = shared.value
+        if name not in _GAINS:  # a worker serves many tasks
+            _GAINS.clear()
+            _GAINS[name] = {w: math.log10(c + 1) for w, c in frequent.items()}
+        gain = _GAINS[name]
 
-        def of(uid: pa.Array, ids: pa.Array, texts: pa.Array) -> list:
+        def of(uid: pa.Array, ids: pa.Array, held: pa.Array, texts: pa.Array) -> list:
             raw = as_bytes(texts)
             n_tokens, known, base, rare = [], [], [], []
             for t in raw:
@@ -251,25 +324,26 @@ def scored(docs: DataFrame, id_col: str, text_col: str, training: DataFrame) ->
                 known.append(len(gains) + (ends > 0))
                 base.append(sum(gains) + end_gain)
                 rare.append([w for w in found if w not in gain] if len(gains) < len(found) else [])
-            return [uid, ids, n_tokens, known, base, ppm.score(raw), rare]
+            return [uid, ids, held, n_tokens, known, base, *looked_up(raw, keys, gains_), rare]
 
         return of
 
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    first = written(map_rows(rows, "uid long, id long, n_tokens long, known long, base double, score double, rare array<binary>", make, slab=256), "scored")
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("id"), held_out.alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    schema = "uid long, id long, held_out boolean, n_tokens long, known long, base double, score double, other array<long>, rare array<binary>"
+    first = written(map_rows(rows, schema, make, slab=256), "scored")
     seldom = vocabulary.where(F.col("c") < max(1.0, FREQUENT * n))
     rest = first.select("uid", F.explode("rare").alias("word")).join(seldom, "word").groupBy("uid").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("c") + 1)).alias("gain"))
-    out = first.drop("rare").join(rest, "uid", "left")
+    others = first.select("uid", F.explode("other").alias("key")).join(gained.where(F.col("uses") < least), "key").groupBy("uid").agg(F.sum("gain").alias("tail"))
+    out = first.drop("rare", "other").join(rest, "uid", "left").join(others, "uid", "left")
     base = F.col("base") + F.coalesce("gain", F.lit(0.0)) - F.col("n_tokens") * math.log10(n + v + 1)
-    return out.select("id", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return out.select("id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + F.coalesce("tail", F.lit(0.0))).alias("score"))
 
 
 def op9_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: the unigram base, and the log10 probability that the PPM model gives the whole text."""
     docs = documents(spark, sf_dir)
     held = F.coalesce(remainder("doc_id", 7) == 2, F.lit(True))
-    found = scored(docs, "doc_id", "text", docs.where(~held).select("text")).withColumnRenamed("id", "doc_id")
-    return found.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scored(docs, "doc_id", "text", held).withColumnRenamed("id", "doc_id")
 
 
 QUERIES = {"op9_ppm": op9_ppm}

@@ -298,6 +298,43 @@ def test_ppm_probabilities_add_up_to_one(spark):
     assert whole[0] > model.score([b"xqzjvkwpyfhgmuoliesnr tb"])[0]
 
 
+def test_ppm_keeps_rare_contexts_of_a_large_corpus(spark, tmp_path, monkeypatch):
+    """Over a million training bytes, scores equal those of the model with every node; few grams are broadcast."""
+    rng = random.Random(5)
+    every = [f"{rng.choice(PLAIN.split())} {rng.randint(0, 10**6)} " * 45 for _ in range(2800)] + ["a rare zyxwv word", "a rare zyxwv word unseen Qzyxwv \u65e5", "", "zyxw zyxwvzyxwv"] * 7
+    monkeypatch.setattr(lm_scoring, "COMMON", 1e-5, raising=False)
+    spark.createDataFrame(list(enumerate(every)), "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r["doc_id"]: r for r in lm_scoring.op9_ppm(spark, str(tmp_path)).collect()}
+    texts = [t for i, t in enumerate(every) if not rows[i]["held_out"]]
+    assert len(rows) == len(every) and sum(len(t) + 1 for t in texts) > 1_000_000
+    counts = Counter()
+    for t in texts:
+        counts.update(lm_scoring.grams([t.encode()]).tolist())
+    nodes = [Counter() for _ in range(lm_scoring.ORDER + 1)]
+    for g, c in counts.items():
+        for k, at in enumerate(nodes):
+            at[g & ((1 << 8 * (k + 1)) - 1)] += c
+    under = [{} for _ in nodes]
+    for at, by in zip(nodes, under, strict=True):
+        for g, c in at.items():
+            by.setdefault(g >> 8, {})[g & 255] = c
+
+    def plain(g):
+        total, seen = 0.0, {}
+        for k in range(lm_scoring.ORDER, -1, -1):
+            row = under[k].get((g & ((1 << 8 * (k + 1)) - 1)) >> 8)
+            if row:
+                whole = sum(c for s, c in row.items() if s not in seen) + len(row)
+                total += math.log10(row.get(g & 255, len(row)) / whole)
+                if g & 255 in row:
+                    return total
+                seen = row
+        return total - math.log10(256 - len(under[0][0]))
+
+    for i in (*range(40), *range(2800, len(every))):
+        assert rows[i]["score"] == pytest.approx(sum(map(plain, lm_scoring.grams([every[i].encode()]).tolist()))), i
+
+
 def test_lm_base_score_matches_a_plain_count(spark, sf):
     import zlib
 
