@@ -1,10 +1,9 @@
 """Personal data in whole texts: fixed patterns, and spans that a character-level BiLSTM-CRF adds.
 
-The tagger (tagger.py) is trained here, in numpy, from labelled spans. It reads overlapping windows around every place that could hold
-personal data of its kinds: an at sign, or digits, outside the spans that the patterns found. Where windows overlap, each
-character takes its label from the window in whose middle it lies most, so that a span is whole whatever the cut. A tagged
-span is added if it has the marks of its kind (an address and a dot; 9 to 15 digits; 13 to 19 digits passing Luhn; four
-parts) and meets no other span.
+The tagger (tagger.py) is trained here, in numpy, from labelled spans. It reads overlapping windows over every whole text.
+Where windows overlap, each character takes its label from the window in whose middle it lies most, so that a span is whole
+whatever the cut. A tagged span is added if it has the marks of its kind (an address and a dot, as signs, in brackets or
+spelled out; 9 to 15 digits; 13 to 19 digits passing Luhn; four parts) and meets no other span.
 
 Defined cases: a null or empty text has no spans; an empty table gives an empty result; repeated rows are judged alike; of
 overlapping base spans of different kinds all stay; other columns are ignored.
@@ -29,9 +28,15 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-PLACE = re.compile(r"[0-9]|@|[\[(]at[\])]")
-#: Characters of context on either side of a place, and how far apart the windows begin.
-CONTEXT, STRIDE = 24, WIDTH // 2
+DIGIT = re.compile(r"[0-9]")
+#: Forms of the marks that a tagged span can have.
+_SIGN = r" ?(?:{sign}|[\[({{<] ?(?:{sign}|{word}) ?[\])}}>]) ?"
+_DOT = _SIGN.format(sign=r"\.", word="dot")
+_SAID = rf"(?:{_DOT}| +dot +)"
+ADDRESS = re.compile(rf"[a-z0-9._%+-]+(?:{_SIGN.format(sign='@', word='at')}[a-z0-9-]+(?:{_SAID}[a-z0-9-]+)+| +at +[a-z0-9-]+(?: +dot +[a-z0-9-]+)+)", re.IGNORECASE | re.ASCII)
+PARTS = re.compile(rf"([0-9]+){_SAID}([0-9]+){_SAID}([0-9]+){_SAID}([0-9]+)", re.IGNORECASE | re.ASCII)
+#: How far apart the windows begin.
+STRIDE = WIDTH // 2
 
 Span = tuple[int, int, str]
 
@@ -61,34 +66,13 @@ def base_spans(text: str) -> list[Span]:
             end = match.end()
             found.append((start, end, "email"))
         at = text.find("@", max(at + 1, end))
-    if PLACE.search(text):
+    if DIGIT.search(text):
         found += [(*m.span(), "ip") for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.groups())]
         found += [(*m.span(), "card") for m in CARD.finditer(text) if 13 <= n_digits(m[0]) <= 19 and luhn(m[0])]
         found += [(*m.span(), "phone") for m in PHONE.finditer(text) if 9 <= n_digits(m[0]) <= 15]
     return found
 
 
-def regions(text: str, known: list[Span]) -> list[tuple[int, int]]:
-    """Stretches of text to be tagged: around places outside the known spans that hold enough for some kind."""
-    covered = sorted((a, b) for a, b, _ in known)
-    out: list[list[int]] = []
-    marks: list[list[int]] = []  # of each region: digits, addresses
-    i = 0
-    for m in PLACE.finditer(text):
-        a, b = m.span()
-        while i < len(covered) and covered[i][1] <= a:
-            i += 1
-        if i < len(covered) and covered[i][0] <= a:
-            continue
-        if out and a - CONTEXT <= out[-1][1]:
-            out[-1][1] = min(len(text), b + CONTEXT)
-        else:
-            out.append([max(0, a - CONTEXT), min(len(text), b + CONTEXT)])
-            marks.append([0, 0])
-        marks[-1]["0" > m[0] or m[0] > "9"] += 1
-    return [(a, b) for (a, b), (digits, ats) in zip(out, marks, strict=True) if digits >= 9 or ats]
-
-
 def windows(start: int, end: int) -> list[int]:
     """Where the windows over a region begin."""
     return [start] if end - start <= WIDTH else [*range(start, end - WIDTH, STRIDE), end - WIDTH]
@@ -112,9 +96,8 @@ def reconciled(start: int, end: int, begins: list[int], labels: list[np.ndarray]
 
 def labelled_runs(labels: np.ndarray, start: int) -> list[Span]:
     found: list[list] = []
-    for i, label in enumerate(labels.tolist()):
-        if not label:
-            continue
+    for i in np.flatnonzero(labels).tolist():
+        label = int(labels[i])
         kind = KINDS[(label - 1) // 2]
         if found and found[-1][1] == start + i and found[-1][2] == kind and label % 2 == 0:
             found[-1][1] += 1
@@ -127,12 +110,13 @@ def has_marks(text: str, kind: str) -> bool:
     """Whether a tagged span can be of its kind at all."""
     n = n_digits(text)
     if kind == "email":
-        return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+ ?(?:@|\[at\]|\(at\)) ?[A-Za-z0-9-]+(?: ?(?:\.|\[dot\]|\(dot\)) ?[A-Za-z0-9-]+)+", text))
+        return bool(ADDRESS.fullmatch(text))
     if kind == "card":
         return 13 <= n <= 19 and luhn(text) and bool(re.fullmatch(r"[0-9](?:[ .-]?[0-9])+", text))
     if kind == "phone":
         return 9 <= n <= 15 and bool(re.fullmatch(r"\+?\(?[0-9]{1,4}\)?(?:[ .-]{1,2}\(?[0-9]{2,4}\)?){2,5}", text))
-    return bool(IP.fullmatch(text)) and all(int(p) <= 255 for p in text.split("."))
+    parts = PARTS.fullmatch(text)
+    return bool(parts) and all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in parts.groups())
 
 
 def all_spans(texts: list[str], tagger: Tagger) -> list[tuple[list[Span], list[Span]]]:
@@ -141,18 +125,20 @@ def all_spans(texts: list[str], tagger: Tagger) -> list[tuple[list[Span], list[S
     todo: list[tuple[int, int, int, list[int]]] = []
     cut: dict[str, int] = {}
     for k, t in enumerate(texts):
-        for a, b in regions(t, base[k]) if PLACE.search(t) else []:
-            begins = windows(a, b)
-            todo.append((k, a, b, begins))
+        if t:
+            begins = windows(0, len(t))
+            todo.append((k, 0, len(t), begins))
             for w in begins:
-                cut.setdefault(t[w : min(b, w + WIDTH)], len(cut))
+                cut.setdefault(t[w : w + WIDTH], len(cut))
     names = list(cut)
-    labels = [row for at in range(0, len(names), 512) for row in tagger.decode(coded(names[at : at + 512]))]
+    labels = [row for at in range(0, len(names), 512) for row in tagger.decode(coded(names[at : at + 512])).astype(np.int8)]
     added: list[list[Span]] = [[] for _ in texts]
     for k, a, b, begins in todo:
         t = texts[k]
         joined = reconciled(a, b, begins, [labels[cut[t[w : min(b, w + WIDTH)]]] for w in begins])
         for start, end, kind in labelled_runs(joined, a):
+            if kind == "email" and (match := ADDRESS.search(t, start, end)):  # a run can hold words before or after
+                start, end = match.span()
             whole = (start == 0 or not (t[start - 1].isalnum() and t[start].isalnum())) and (end == len(t) or not (t[end].isalnum() and t[end - 1].isalnum()))
             if whole and has_marks(t[start:end], kind) and all(end <= x or start >= y for x, y, _ in base[k]):
                 added[k].append((start, end, kind))
@@ -160,7 +146,7 @@ def all_spans(texts: list[str], tagger: Tagger) -> list[tuple[list[Span], list[S
 
 
 @functools.lru_cache(maxsize=2)
-def trained(steps: int = 450) -> Tagger:
+def trained(steps: int = 1200) -> Tagger:
     """The tagger of the labelled examples; the same in every run."""
     return train(examples(), steps)
 

@@ -186,9 +186,9 @@ def examples(count: int = 6000, seed: int = 3) -> list[tuple[str, list[tuple[int
         return body + str(-total % 10)
 
     def email() -> str:
-        at, dot = rng.choice((("@", "."),) * 3 + ((" [at] ", " [dot] "), ("(at)", "(dot)"), ("[at]", "."), (" (at) ", ".")))
+        at, dot = rng.choice((("@", "."),) * 3 + ((" [at] ", " [dot] "), ("(at)", "(dot)"), ("[at]", "."), (" (at) ", "."), (" AT ", " DOT "), (" at ", " dot "), (" at ", " dot "), (" [AT] ", "."), ("[AT]", "[DOT]"), (" {at} ", "."), ("{at}", "{dot}")))
         host = plain() + (dot + plain() if rng.random() < 0.4 else "") + dot + rng.choice(("com", "org", "net", "de", "fr", "example"))
-        return plain() + rng.choice(("", ".", "_", "-")) + rng.choice((plain(), digits(2))) + at + host
+        return plain() + rng.choice(("", rng.choice(("", ".", "_", "-")) + rng.choice((plain(), digits(2))))) + at + host
 
     def card() -> str:
         n = luhn(rng.choice((13, 15, 16, 16, 16, 16, 19)))
@@ -200,13 +200,13 @@ def examples(count: int = 6000, seed: int = 3) -> list[tuple[str, list[tuple[int
         return rng.choice((f"+{digits(rng.randint(1, 2))} ({a}) {b}-{c}", f"+{digits(1)} {a} {b} {c}", f"+{digits(2)}{a}{b}{c}", f"({a}) {b}-{c}", f"({a}) {b} {c}", f"{a}-{b}-{c}", f"+{digits(2)}-{a}-{b}-{c}"))
 
     def ip() -> str:
-        return ".".join(str(rng.randint(0, 255)) for _ in range(4))
+        return rng.choice((".", ".", ".", "[.]", "(dot)", "[dot]", " dot ")).join(str(rng.randint(0, 255)) for _ in range(4))
 
     def other() -> str:
         return rng.choice((
             lambda: "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice((16, 32, 40)))), lambda: str(rng.randint(1800, 2100)), lambda: f"{rng.randint(1, 31)}.{rng.randint(1, 12)}.{rng.randint(1900, 2030)}",
             lambda: f"{rng.randint(1900, 2030)}-{rng.randint(1, 12):02}-{rng.randint(1, 31):02}", lambda: digits(rng.randint(1, 7)), lambda: f"{rng.randint(0, 23)}:{digits(2)}", lambda: f"v{digits(1)}.{digits(1)}.{digits(2)}", lambda: f"${digits(3)}.{digits(2)}",
-            lambda: "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(16)), lambda: f"§{digits(2)}", lambda: "@" + plain(), lambda: f"[{digits(2)}]", lambda: digits(rng.randint(20, 30)), lambda: f"{digits(3)},{digits(3)},{digits(3)}",
+            lambda: "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(16)), lambda: f"§{digits(2)}", lambda: "@" + plain(), lambda: f"[{digits(2)}]", lambda: digits(rng.randint(20, 30)), lambda: f"{digits(3)},{digits(3)},{digits(3)}", lambda: f"{plain()} at {plain()} {plain()}", lambda: f"{plain()} at {plain()}, dot {plain()}",
         ))()
 
     made = []
@@ -215,13 +215,13 @@ def examples(count: int = 6000, seed: int = 3) -> list[tuple[str, list[tuple[int
         for _ in range(rng.randint(8, 14)):
             r = rng.random()
             if r < 0.16:
-                kind = rng.choice(KINDS)
+                kind = rng.choice((*KINDS, "email", "email"))
                 parts.append(({"email": email, "ip": ip, "card": card, "phone": phone}[kind](), kind))
             elif r < 0.26:
                 parts.append((other(), None))
             else:
                 w = word()
-                parts.append((rng.choice((w, w, w.capitalize(), w.upper())), None))
+                parts.append((rng.choice((w, w, w.capitalize(), w.upper(), plain(), plain())), None))
             parts.append((rng.choice((" ", " ", " ", " ", ", ", ". ", "\n", "!! ", "*** ", " | ", ": ")), None))
         text, found = "", []
         for t, kind in parts:

@@ -398,6 +398,18 @@ def test_tagger_finds_held_out_spans():
     assert right > 0.95
 
 
+def test_tagger_reads_whole_texts():
+    """Addresses without a sign or a digit near them, and four parts that no base pattern has."""
+    said = ["jane AT example DOT com", "jane [AT] example.com", "jane {at} example.com", "jane at example dot com"]
+    texts = [f"{PLAIN} write to {x} for more of it. {PLAIN}" for x in said] + [PLAIN * 3, "they met at home and put a dot on the map"]
+    found = pii.all_spans(texts, pii.trained())
+    for t, x, (_, added) in zip(texts, said, found, strict=False):
+        at = t.index(x)
+        assert [s for s in added if s[2] == "email"] == [(at, at + len(x), "email")], (x, added)
+    assert all(not base and not added for base, added in found[len(said) :])
+    assert all(pii.has_marks(x, "email") for x in said) and pii.has_marks("10[.]0[.]0[.]12", "ip") and not pii.has_marks("10 dot 0 dot 0 dot 256", "ip")
+
+
 def test_redaction_masks_and_keeps_the_rest(spark, docs):
     rows = pii.redacted(docs, "text")
     assert rows.columns == docs.columns
