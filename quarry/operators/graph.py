@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,11 +35,11 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataF
     return rank
 
 
-def shortest_paths(edges: DataFrame, source: object, limit: int = 1000) -> DataFrame:
-    """(node, distance) from a source along positive weights: nodes whose distance fell relax their edges until none falls."""
+def shortest_paths(edges: DataFrame, source: object, limit: int | None = None) -> DataFrame:
+    """(node, distance) from a source along positive weights: nodes whose distance fell relax their edges until none falls, or for `limit` steps."""
     best = checkpointed(edges.limit(1).select(F.lit(source).cast(edges.schema["src"].dataType).alias("node"), F.lit(0.0).alias("distance")))
     front = best
-    for _ in range(limit):
+    for _ in itertools.count() if limit is None else range(limit):
         reached = edges.join(front, edges["src"] == front["node"]).groupBy("dst").agg(F.min(F.col("distance") + F.col("w")).alias("new"))
         front = checkpointed(reached.join(best, reached["dst"] == best["node"], "left").where("distance IS NULL OR new < distance").select(F.col("dst").alias("node"), F.col("new").alias("distance")))
         if front.isEmpty():
@@ -47,9 +48,9 @@ def shortest_paths(edges: DataFrame, source: object, limit: int = 1000) -> DataF
     return best
 
 
-def bfs(edges: DataFrame, source: object) -> DataFrame:
-    """(node, distance) in steps."""
-    return shortest_paths(edges.select("src", "dst", F.lit(1.0).alias("w")), source)
+def bfs(edges: DataFrame, source: object, limit: int | None = None) -> DataFrame:
+    """(node, distance) in steps, `limit` at most."""
+    return shortest_paths(edges.select("src", "dst", F.lit(1.0).alias("w")), source, limit)
 
 
 def degrees(edges: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Operators on awkward rows, and against known values."""
 
+import inspect
 import math
 
 import pytest
@@ -93,6 +94,12 @@ def test_shortest_paths_on_a_small_graph(spark):
     assert sum(ranks.values()) == pytest.approx(1.0)
 
 
+def test_paths_end_only_where_asked(spark):
+    e = spark.range(12).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert inspect.signature(graph.shortest_paths).parameters["limit"].default is None
+    assert graph.bfs(e, 0).count() == 13 and graph.bfs(e, 0, limit=3).count() == 4
+
+
 def test_linear_model_recovers_weights(spark):
     df = spark.range(200).select((F.col("id") % 17).cast("double").alias("a"), (F.col("id") % 5).cast("double").alias("b")).withColumn("y", 3 + 2 * F.col("a") - F.col("b"))
     m = models.fit_linear(df, ["a", "b"], "y")
