@@ -129,11 +129,12 @@ def replaced_words(x: Column, mapping: Mapping[str, str]) -> Column:
 
 
 def merge_similar(df: DataFrame, column: str, threshold: float) -> dict[str, str]:
-    """Each category to the commonest one that its text resembles (1 - edit distance over length). Runs over the distinct categories."""
+    """Each category to the commonest one that its text resembles (1 - edit distance over length). Runs over all pairs of distinct categories whose lengths allow it."""
     t = df.groupBy(F.col(column).alias("c")).agg(F.count("*").alias("n")).where("c IS NOT NULL")
     a, b = t.alias("a"), t.alias("b")
-    alike = 1 - F.levenshtein("a.c", "b.c") / F.greatest(F.length("a.c"), F.length("b.c"))
-    near = a.join(b, (F.substring("a.c", 1, 1) == F.substring("b.c", 1, 1)) & (alike >= threshold))
+    longer = F.greatest(F.length("a.c"), F.length("b.c"), F.lit(1))
+    alike = 1 - F.levenshtein("a.c", "b.c") / longer
+    near = a.join(b, (F.abs(F.length("a.c") - F.length("b.c")) <= (1 - threshold) * longer + 1e-9) & (alike >= threshold))
     best = near.groupBy("a.c").agg(F.max_by("b.c", F.struct("b.n", "b.c")).alias("to"))
     return {r["c"]: r["to"] for r in best.collect()}
 

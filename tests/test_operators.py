@@ -116,6 +116,11 @@ def test_similar_categories_merge_into_the_commonest(spark):
     assert cleaning.merge_similar(df, "c", 0.8) == {"berlin": "berlin", "berlim": "berlin", "paris": "paris"}
 
 
+def test_categories_that_differ_in_the_first_letter_merge(spark):
+    df = spark.createDataFrame([("berlin",)] * 3 + [("Berlin",), (" berlin",), ("",), ("paris",)], "c string")
+    assert cleaning.merge_similar(df, "c", 0.8) == {"berlin": "berlin", "Berlin": "berlin", " berlin": "berlin", "": "", "paris": "paris"}
+
+
 @pytest.mark.parametrize("suffix", ["parquet", "csv", "json", "orc"])
 def test_files_go_round(spark, tmp_path, suffix):
     df = spark.createDataFrame([(1, "a"), (2, None)], "id long, s string")
