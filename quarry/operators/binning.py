@@ -46,18 +46,18 @@ def entropy_edges(df: DataFrame, column: str, max_bins: int) -> list[float]:
     return best[1]
 
 
-def chi_merge_edges(df: DataFrame, column: str, label: str, max_intervals: int, critical: float, start: int = 64) -> list[float]:
+def chi_merge_edges(df: DataFrame, column: str, label: str, max_intervals: int, critical: float) -> list[float]:
     """Adjacent intervals of least chi-square are merged while it is at most `critical` or intervals are too many.
 
-    The data are first cut at `start` quantiles, so the driver holds that many class counts, whatever the rows.
+    Each distinct value is an interval at first, so the driver holds the class counts of all distinct values.
     """
-    edges = quantile_edges(df, column, start)
-    rows = df.groupBy(digitize(F.col(column), edges).alias("bin"), label).count().collect()
-    classes = sorted({r[label] for r in rows}, key=str)
-    counts = [[0] * len(classes) for _ in range(max(1, len(edges) - 1))]
+    rows = df.groupBy(F.col(column).cast("double").alias("value"), F.col(label).alias("label")).count().where("value IS NOT NULL").collect()
+    classes = sorted({r["label"] for r in rows}, key=str)
+    place, of = {c: j for j, c in enumerate(classes)}, {}
     for r in rows:
-        if r["bin"] is not None:
-            counts[r["bin"]][classes.index(r[label])] += r["count"]
+        of.setdefault(r["value"], [0] * len(classes))[place[r["label"]]] += r["count"]
+    values = sorted(of, key=lambda v: (v != v, v))  # not-a-number last, as in Spark
+    counts, edges = [of[v] for v in values], values + values[-1:]
 
     def chi2(a: list[int], b: list[int]) -> float:
         total = sum(a) + sum(b)
@@ -69,13 +69,16 @@ def chi_merge_edges(df: DataFrame, column: str, label: str, max_intervals: int,
         return out
 
     cuts = list(edges)
+    scores = [chi2(a, b) for a, b in zip(counts, counts[1:], strict=False)]
     while len(counts) > 1:
-        scores = [chi2(a, b) for a, b in zip(counts, counts[1:], strict=False)]
         i = min(range(len(scores)), key=scores.__getitem__)
         if scores[i] > critical and len(counts) <= max_intervals:
             break
         counts[i] = [a + b for a, b in zip(counts[i], counts.pop(i + 1), strict=True)]
         cuts.pop(i + 1)
+        scores.pop(i)
+        for j in range(max(0, i - 1), min(len(scores), i + 1)):
+            scores[j] = chi2(counts[j], counts[j + 1])
     return cuts
 
 

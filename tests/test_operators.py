@@ -94,6 +94,12 @@ def test_shortest_paths_on_a_small_graph(spark):
     assert sum(ranks.values()) == pytest.approx(1.0)
 
 
+def test_chi_merge_starts_from_distinct_values(spark):
+    """A hot value that takes most quantiles hides no cut in the tail."""
+    df = spark.range(20000).select(F.greatest(F.col("id") - 19800, F.lit(0)).cast("double").alias("x")).withColumn("y", F.col("x").between(101, 131).cast("int"))
+    assert binning.chi_merge_edges(df, "x", "y", 3, 3.84) == [0.0, 101.0, 132.0, 199.0]
+
+
 def test_paths_end_only_where_asked(spark):
     e = spark.range(12).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
     assert inspect.signature(graph.shortest_paths).parameters["limit"].default is None
