@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Texts of about so many bytes are worked on at once.
+PART_BYTES = 8 << 20
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -25,13 +29,46 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_MADE: list[list[str]] = []
+
+
+def place(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    path = f"{shared_dir(spark)}/quarry/{name}-{uuid.uuid4().hex}"
+    if _MADE:
+        _MADE[-1].append(path)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: it is computed once, and no executor's loss can take it."""
-    path = f"{shared_dir(df.sparkSession)}/quarry/{name}-{uuid.uuid4().hex}"
+    path = place(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def tidied(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Deletes at its end the tables written inside it, but for what is written by the function that it gives."""
+    kept: list[str] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        found = written(df, name)
+        kept.append(_MADE[-1].pop())
+        return found
+
+    _MADE.append([])
+    try:
+        yield keep
+    finally:
+        made = _MADE.pop()
+        for path in made:
+            there = spark._jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+        if _MADE:
+            _MADE[-1] += kept
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -41,6 +78,20 @@ def remainder(doc_id: str, mod: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % mod
 
 
+def parts(batch: pa.RecordBatch, rows: int, size: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in slabs of `rows` rows and about `size` bytes of texts at most; a longer text is a slab of its own."""
+    weight = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+            weight += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    total, at = np.cumsum(weight), 0
+    while at < batch.num_rows:
+        before = total[at - 1] if at else 0
+        n = min(rows, max(1, int(np.searchsorted(total, before + size, side="right")) - at))
+        yield batch.slice(at, n)
+        at += n
+
+
 def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[list[dict]], list[tuple]]], slab: int = 512) -> DataFrame:
     """mapInArrow over slabs of rows: make() gives, once a task, a function from a list of columns to a list of columns."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -51,8 +102,7 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[list[dict]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, slab):
-                part = batch.slice(at, slab)
+            for part in parts(batch, slab):
                 out = f(*part.columns)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) if not isinstance(c, pa.Array) else c.cast(t) for c, t in zip(out, arrow.types, strict=True)], schema=arrow)
 
@@ -70,8 +120,7 @@ def with_columns(df: DataFrame, needs: list[str], schema: str, make: Callable, s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, slab):
-                part = batch.slice(at, slab)
+            for part in parts(batch, slab):
                 out = f(*(part.column(i) for i in places))
                 new = [pa.array(c, t) if not isinstance(c, pa.Array) else c.cast(t) for c, t in zip(out, arrow.types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *arrow.names])
@@ -79,6 +128,17 @@ def with_columns(df: DataFrame, needs: list[str], schema: str, make: Callable, s
     return df.mapInArrow(run, StructType([*df.schema.fields, *more.fields]))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes for df to have no such column (in any case)."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """The texts' UTF-8; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary() if column.type == pa.string() else pa.large_binary()).to_pylist()]
