@@ -7,8 +7,9 @@ then still lies in one bucket but in several components is compared across compo
 join two components is left out, while pairs inside a component are never made. Links are confirmed on the full sets.
 
 Defined cases: a text without words (or null) links with nothing; rows of one id count as one document; a null id takes part
-in no link; an empty table gives an empty result; other columns are ignored. Ties do not arise: the smallest id names a
-component.
+in no link; a very long text is a slab of its own and its set is whole; an empty table gives an empty result; other columns, whatever
+their names, are ignored, and kept by one_of_each. Ties do not arise: the smallest id names a component. Buckets below WIDE are searched
+pair by pair, those above it by prefixes that miss no link: both ways find every link within a bucket.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quarry.llm._common import WordHash, as_bytes, documents, map_rows, mix64, shingles, words, written
+from quarry.llm._common import WordHash, as_bytes, documents, map_rows, mix64, shingles, tidied, unused, words, written
 from quarry.llm.graph import components
 
 #: 30 bands of 5 coordinates: a pair of Jaccard 0.8 shares no bucket with probability 0.672 ** 30 = 7e-6.
@@ -166,7 +167,12 @@ def _rare_prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> Dat
 
 
 def near_duplicates(docs: DataFrame, id_col: str, text_col: str, n: int = 5, percent: int = 80) -> DataFrame:
-    """(id, n_shingles, component_id), a row for each row of docs."""
+    """(id, n_shingles, component_id), a row for each row of docs; a written table, the others made on the way are deleted."""
+    with tidied(docs.sparkSession) as keep:
+        return keep(_near_duplicates(docs, id_col, text_col, n, percent), "near")
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
     sketch = written(sketches(docs, id_col, text_col, n), "sketches")
     classes = sketch.where("set_key IS NOT NULL AND id IS NOT NULL").groupBy("set_key").agg(F.min("id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
     classes = written(classes, "classes")
@@ -202,11 +208,17 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, n: int = 5, per
 
 
 def one_of_each(docs: DataFrame, id_col: str, text_col: str, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that stay: of each component its smallest id, once."""
-    kept = near_duplicates(docs, id_col, text_col, n, percent).where("id = component_id OR id IS NULL").select(F.col("id").alias("__kept")).distinct()
-    stays = docs.join(kept.hint("shuffle_hash"), docs[id_col].cast("long").eqNullSafe(kept["__kept"])).drop("__kept")
-    once = W.partitionBy(id_col).orderBy(id_col)
-    return stays.withColumn("__copy", F.row_number().over(once)).where(F.col(id_col).isNull() | (F.col("__copy") == 1)).drop("__copy")
+    """The rows of docs that stay: of each component its smallest id, once; and all rows without an id.
+
+    Of rows that share an id, that of the least hash of its columns (maps apart) stays, whatever the partitioning; they are made one before they move.
+    """
+    near = near_duplicates(docs, id_col, text_col, n, percent)
+    row, key, kept_id = unused(docs, "__row", "__key", "__kept")
+    kept = near.where("id = component_id").select(F.col("id").alias(kept_id)).distinct()
+    whole = F.xxhash64(*(docs[c] for c, kind in docs.dtypes if "map<" not in kind))
+    once = docs.where(docs[id_col].isNotNull()).groupBy(docs[id_col].cast("long").alias(key)).agg(F.min_by(F.struct(*docs.columns), whole).alias(row))
+    stays = once.join(kept.hint("shuffle_hash"), F.col(key) == F.col(kept_id)).select(f"{row}.*")
+    return stays.unionByName(docs.where(docs[id_col].isNull()))
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
