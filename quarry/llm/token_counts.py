@@ -1,68 +1,87 @@
 """Token counts by a unigram model, with dynamic programming shared in a trie of the distinct pre-tokens.
 
-A token of rank r costs log2(r + 2), in units of 2 ** -20 (Zipf's law: frequency falls as one over the rank). A segmentation of a
-pre-token costs the sum; the cheapest counts, on a tie the one of fewer tokens. Every node of the trie holds the best
-(cost, tokens) of its prefix, computed once from the nodes above it; a pre-token's count is read at its last node. The trie
-of a Python worker is cut down when it reaches a bound, so memory does not grow with the corpus.
+The vocabulary is a public one; the probabilities of its tokens are learnt from the corpus in one counting pass: the pre-tokens of
+all texts are cut into tokens, each time the longest that fits, these are counted over all documents, and the counts, one more
+each, give the probabilities. They are a table of one row a token.
 
-Defined cases: a null or empty text has no tokens; an empty table gives an empty result; repeated rows count alike; other
-columns are ignored.
+A segmentation of a pre-token costs the sum of -log2 of its tokens' probabilities, in units of 2 ** -20; the cheapest counts, on a
+tie the one of fewer tokens. Every node of the trie holds the best (cost, tokens) of its prefix, computed once from the nodes above it and
+the tokens that an automaton finds to end there; a pre-token's count is read at its last node. The trie of a Python worker is
+emptied when it reaches a bound, and holds the first DEPTH bytes of a pre-token at most, so memory does not grow with the corpus.
+
+Defined cases: a null or empty text has no tokens; a very long text is a slab of its own, and a pre-token of any length is counted
+whole; an empty table gives an empty result; repeated rows count alike; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import collections
 import math
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm._common import documents, map_rows
+from quarry.llm._common import documents, map_rows, parts, written
 from quarry.llm.pretokens import STRETCH, Memory, Splitter, public_path, public_pattern, read_ranks
 
-NODES = 600_000
-REMEMBERED = 300_000
+NODES, DEPTH = 600_000, 128
+REMEMBERED = 400_000
+UNIT = 1 << 20
+#: More than the tokens of any pre-token; and more than any cost.
+MANY, WORST = 1 << 32, 1 << 200
 
 
-def zipf_costs(ranks: dict[bytes, int]) -> dict[bytes, int]:
-    return {t: round(math.log2(r + 2) * (1 << 20)) for t, r in ranks.items()}
+def learnt_costs(ranks: dict[bytes, int], times: dict[int, int]) -> dict[bytes, int]:
+    """times: how often each rank occurs."""
+    whole = math.log2(sum(times.values()) + len(ranks))
+    return {t: round((whole - math.log2(times.get(r, 0) + 1)) * UNIT) for t, r in ranks.items()}
 
 
 class Trie:
     """costs: an integer cost for each token; every single byte must be one."""
 
     def __init__(self, costs: dict[bytes, int], bound: int = NODES) -> None:
-        self.costs, self.bound = costs, bound
+        self.bound = bound
         self.longest = max(map(len, costs))
+        self.tokens = ahocorasick.Automaton()
+        for token, cost in costs.items():
+            self.tokens.add_word(token.decode("latin-1"), (len(token) - 1, cost * MANY + 1))
+        self.tokens.make_automaton()
         self.reset()
 
     def reset(self) -> None:
         self.child: dict[int, int] = {}
-        self.best: list[tuple[int, int]] = [(0, 0)]
+        self.best = [0]  # of each node's prefix: MANY * cost + tokens
 
     def count(self, word: bytes) -> int:
         """Tokens of the cheapest segmentation; adds the nodes that the trie lacks."""
-        if len(self.best) > self.bound:
+        child, best = self.child, self.best
+        if len(best) > self.bound:
             self.reset()
-        child, best, costs = self.child, self.best, self.costs
-        at, path = 0, [best[0]]
-        for end in range(1, len(word) + 1):
-            key = at << 8 | word[end - 1]
-            node = child.get(key)
+            child, best = self.child, self.best
+        at, states = 0, [0]
+        for b in word[:DEPTH]:
+            node = child.get(at << 8 | b)
             if node is None:
-                low = None
-                for start in range(max(0, end - self.longest), end):
-                    cost = costs.get(word[start:end])
-                    if cost is not None:
-                        before = path[start]
-                        found = (before[0] + cost, before[1] + 1)
-                        if low is None or found < low:
-                            low = found
-                node = child[key] = len(best)
-                best.append(low)
+                break
             at = node
-            path.append(best[at])
-        return path[-1][1]
+            states.append(best[at])
+        depth, size = len(states) - 1, len(word)
+        if depth < size:
+            states += [WORST] * (size - depth)
+            for end, (back, own) in self.tokens.iter(word.decode("latin-1"), max(0, depth + 1 - self.longest)):
+                if end >= depth:
+                    total = states[end - back] + own
+                    if total < states[end + 1]:
+                        states[end + 1] = total
+            node = len(best)
+            best += states[depth + 1 : DEPTH + 1]
+            for b in word[depth:DEPTH]:
+                child[at << 8 | b] = at = node
+                node += 1
+        return states[-1] % MANY
 
 
 class Counter:
@@ -75,21 +94,57 @@ class Counter:
         known.room()
         for s in [s for s in set(found) if s not in known]:
             pieces = self.split(s)
-            known[s] = (len(pieces), sum(self.trie.count(p.encode()) for p in pieces))
-        pieces = tokens = 0
-        for a, b in map(known.__getitem__, found):
-            pieces += a
-            tokens += b
-        return pieces, tokens
+            known[s] = len(pieces) << 40 | sum(self.trie.count(p.encode()) for p in pieces)
+        both = sum(map(known.__getitem__, found))
+        return both >> 40, both & (1 << 40) - 1
+
+
+def token_times(docs: DataFrame, text_col: str, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+    """(rank, times): how often each token is cut off all texts' pre-tokens, the longest first; a row for each token that occurs."""
+    shared = docs.sparkSession.sparkContext.broadcast((ranks, pattern))
+
+    def run(batches):
+        ranks_, pattern_ = shared.value
+        split, longest = Splitter(pattern_), ahocorasick.Automaton()
+        for token, rank in ranks_.items():
+            longest.add_word(token.decode("latin-1"), rank)
+        longest.make_automaton()
+        times: collections.Counter = collections.Counter()
+        stretches: collections.Counter = collections.Counter()
+
+        def settle() -> None:
+            for s, n in stretches.items():
+                for piece in split(s):
+                    for _, rank in longest.iter_long(piece.encode().decode("latin-1")):
+                        times[rank] += n
+            stretches.clear()
+
+        for batch in batches:
+            for part in parts(batch, 512):
+                for t in part.column(0).to_pylist():
+                    stretches.update(STRETCH.findall(t or ""))
+                if len(stretches) > REMEMBERED:
+                    settle()
+        settle()
+        yield pa.RecordBatch.from_pydict({"rank": pa.array(times.keys(), pa.int32()), "times": pa.array(times.values(), pa.int64())})
+
+    rows = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "rank int, times long")
+    return written(rows.groupBy("rank").agg(F.sum("times").alias("times")), "unigrams")
 
 
 _COUNTERS: dict[str, Counter] = {}
 
 
-def counted(docs: DataFrame, id_col: str, text_col: str, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """(id, n_pretokens, n_tokens) of every whole text. path: a rank file, read on the driver; its size bounds the broadcast."""
+def counted(docs: DataFrame, id_col: str, text_col: str, path: str | None = None, pattern: str | None = None, times: DataFrame | None = None) -> DataFrame:
+    """(id, n_pretokens, n_tokens) of every whole text. path: a rank file, read on the driver; its size bounds what is broadcast and collected.
+
+    times: (rank, times), the table that the probabilities come from; without one it is made of docs.
+    """
     path, pattern = path or public_path("byte_bpe_multi_50k.tiktoken"), pattern or public_pattern()
-    shared = docs.sparkSession.sparkContext.broadcast((zipf_costs(read_ranks(path)), pattern, f"{path} {pattern}"))
+    ranks = read_ranks(path)
+    learnt = (times or token_times(docs, text_col, ranks, pattern)).groupBy("rank").agg(F.sum("times").alias("times"))
+    found = {r["rank"]: r["times"] for r in learnt.toLocalIterator()}  # a row for each token of the vocabulary at most
+    shared = docs.sparkSession.sparkContext.broadcast((learnt_costs(ranks, found), pattern, f"{path} {pattern} {hash(frozenset(found.items()))}"))
 
     def make():
         costs, split, key = shared.value
