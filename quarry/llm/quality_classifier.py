@@ -5,8 +5,9 @@ document is the mean of all their vectors over its whole text; a softmax layer g
 the eight before it also counts as a mark of repetition, itself a hashed token. For scoring, the softmax layer is folded
 into the buckets, so that a word's share of the score is computed once and remembered.
 
-Defined cases: a null or empty text gets the score of the bias alone; without labelled rows every score is 0.5; labels that
-are null are not learnt from; an empty table gives an empty result; other columns are no input.
+Defined cases: a null or empty text gets the score of the bias alone; a very long text is read whole, in a slab of its own; without
+labelled rows every score is 0.5; labels that are null are not learnt from; a score of exactly the least one is accepted; repeated
+rows score alike; an empty table gives an empty result; other columns, whatever their names, are no input and are kept.
 """
 
 from __future__ import annotations
@@ -19,10 +20,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm._common import as_bytes, documents, map_rows, remainder, with_columns
+from quarry.llm._common import as_bytes, documents, map_rows, remainder, unused, with_columns, written
 
-#: At most this many labelled rows are learnt from (those whose ids hash lowest): the driver holds their texts.
-MAX_LABELLED = 3000
+#: At most this many labelled rows, of at most so many bytes, are learnt from (those whose ids hash lowest): the driver holds their texts.
+MAX_LABELLED, MAX_BYTES = 3000, 64 << 20
 BUCKETS, DIM, GRAMS = 1 << 16, 8, (3, 4, 5)
 NEAR = 8
 REPEAT = b"\x00repeat"
@@ -108,40 +109,55 @@ def train(texts: list[bytes], labels: list[int], epochs: int = 6, rate: float =
     return Model((vectors @ (out[1] - out[0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> tuple[list[bytes], list[int]]:
-    """Whole texts and labels of at most `bound` labelled documents, chosen by the hash of the id."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED, most: int = MAX_BYTES) -> tuple[list[bytes], list[int]]:
+    """Whole texts and labels of at most `bound` labelled documents, chosen by the hash of the id; one that would pass `most` bytes in all is left out.
+
+    Of rows of one id the least text and the least label count; they are combined before they move.
+    """
     rows = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound).withColumnRenamed("doc_id", "label_id")
-    found = docs.join(F.broadcast(chosen), docs["doc_id"] == F.col("label_id")).select("label_id", "quality", F.coalesce(docs["text"], F.lit("")).alias("text")).collect()
-    found = sorted(found)
-    return [r["text"].encode() for r in found], [int(r["quality"] == 1) for r in found]
+    chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound).select(F.col("doc_id").alias("label_id"), "quality", F.xxhash64("doc_id").alias("place"))
+    found = docs.join(F.broadcast(chosen), docs["doc_id"] == F.col("label_id")).groupBy("place", "label_id", "quality").agg(F.min(F.coalesce(docs["text"].cast("string"), F.lit(""))).alias("text"))
+    found = written(found, "labelled")
+    total, kept = 0, []
+    for r in found.select("place", "label_id", F.octet_length("text").alias("size")).orderBy("place", "label_id").collect():  # `bound` rows at most
+        if total + r["size"] <= most:
+            total += r["size"]
+            kept.append(r["label_id"])
+    sample = sorted(found.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in kept], "label_id long")), "label_id").select("label_id", "quality", "text").collect())
+    return [r["text"].encode() for r in sample], [int(r["quality"] == 1) for r in sample]
+
+
+def score_of(model: Model):
+    """A function from texts to scores that remembers the words' shares."""
+    gain, bias = model.gain, model.bias
+    known: dict[bytes, tuple[float, int]] = {}
+
+    def of(texts: list[bytes]) -> list[float]:
+        if len(known) > 400_000:
+            known.clear()
+        each = [tokens(t) for t in texts]
+        fresh = list({w for found in each for w in found if w not in known})
+        if fresh:
+            bucket, many = gram_buckets(fresh)
+            starts = np.cumsum(many) - many
+            known.update(zip(fresh, zip(np.add.reduceat(gain[bucket].astype(np.float64), starts).tolist(), many.tolist(), strict=True), strict=True))
+        scores = []
+        for found in each:
+            pairs = np.array([known[w] for w in found]) if found else np.zeros((0, 2))
+            total = pairs.sum(axis=0)
+            margin = bias + (total[0] / total[1] if len(found) else 0.0)
+            scores.append(float(1 / (1 + np.exp(-np.clip(margin, -500, 500)))))
+        return scores
+
+    return of
 
 
 def _scorer(spark: SparkSession, model: Model):
-    shared = spark.sparkContext.broadcast((model.gain, model.bias))
+    shared = spark.sparkContext.broadcast(model)
 
     def make():
-        gain, bias = shared.value
-        known: dict[bytes, tuple[float, int]] = {}
-
-        def of(texts: pa.Array) -> list[float]:
-            if len(known) > 400_000:
-                known.clear()
-            each = [tokens(t) for t in as_bytes(texts)]
-            fresh = list({w for found in each for w in found if w not in known})
-            if fresh:
-                bucket, many = gram_buckets(fresh)
-                starts = np.cumsum(many) - many
-                known.update(zip(fresh, zip(np.add.reduceat(gain[bucket].astype(np.float64), starts).tolist(), many.tolist(), strict=True), strict=True))
-            scores = []
-            for found in each:
-                pairs = np.array([known[w] for w in found]) if found else np.zeros((0, 2))
-                total = pairs.sum(axis=0)
-                margin = bias + (total[0] / total[1] if len(found) else 0.0)
-                scores.append(float(1 / (1 + np.exp(-np.clip(margin, -500, 500)))))
-            return scores
-
-        return of
+        score = score_of(shared.value)
+        return lambda texts: score(as_bytes(texts))
 
     return make
 
@@ -165,7 +181,8 @@ def accepted(docs: DataFrame, text_col: str, model: Model, least: float = 0.7) -
         score = scorer()
         return lambda texts: [score(texts)]
 
-    return with_columns(docs, [text_col], "__quality double", make, slab=128).where(F.col("__quality") >= least).drop("__quality")
+    (name,) = unused(docs, "__quality")
+    return with_columns(docs, [text_col], f"{name} double", make, slab=128).where(F.col(name) >= least).select(*docs.columns)
 
 
 def fitted(spark: SparkSession, sf_dir: str) -> Model:
