@@ -1,35 +1,38 @@
 """Quality rules by weak supervision: rules vote or abstain, and expectation-maximisation weighs them.
 
-Each rule votes good (2), bad (1) or abstains (0) on counts taken from the whole text. The generative model has a given
-prior and, for each rule, the probability of each vote under either class; expectation-maximisation fits them to how often
-each combination of votes occurs over all documents. There are 3 ** 7 combinations at most, so that table, and what is
-broadcast back, is bounded whatever the corpus. A document stays when its posterior probability of being good is at
-least one half.
-
-Defined cases: a null or empty text has counts of zero and fails; an empty table gives an empty result; repeated rows are
-judged alike; other columns are ignored.
+Each rule votes good (2), bad (1) or abstains (0) on counts taken from the whole text. The model: a document is good with an unknown
+prior probability, and each rule gives each of its votes, abstention included, with unknown probabilities under either class,
+independently of the other rules. Expectation-maximisation estimates the prior and all of these (and so each rule's accuracy)
+from how often each combination of votes occurs over all documents; the same likelihood serves both steps. As the classes have
+no names of their own, a weak prior says which is which: WEIGHT times the corpus again, in which a rule's votes are right with
+probability BELIEF; it is a share of the corpus, so that it weighs alike at every size. There are 3 ** 9 combinations at most, so that table,
+and what is broadcast back, is bounded whatever the corpus. A document stays when its posterior probability of being good is at
+least one half (at exactly one half it stays).
+
+Defined cases: a null or empty text has counts of zero and fails; a very long text is counted whole, in a slab of its own; an empty table
+gives an empty result; repeated rows are judged alike; other columns, whatever their names, are ignored and kept.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm._common import WordHash, documents, window_hashes, with_columns, written
+from quarry.llm._common import WordHash, documents, unused, window_hashes, with_columns, written
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
+LETTERS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz" + bytes(range(128, 256))
 WINDOW = 8
 GOOD, BAD = 2, 1
-#: No rule's accuracy is estimated lower than this.
-LEAST_ACCURACY = 0.9
-#: The share of good documents before any vote: a parameter.
-PRIOR = 0.9
+#: The weak prior: how likely a vote, or an unseen document, is taken to be right, or good; and its weight against the corpus.
+BELIEF, WEIGHT = 0.9, 0.2
 
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_letters", "n_capitals")
-SIGNALS = ", ".join(f"__{c} long" for c in COUNTS)
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_letters", "n_capitals", "n_marked", "n_lettered")
 
 
 def repeated_words(hashes: np.ndarray, width: int = WINDOW) -> int:
@@ -47,6 +50,11 @@ def repeated_words(hashes: np.ndarray, width: int = WINDOW) -> int:
     return int((np.cumsum(ends[:-1]) > 0).sum())
 
 
+def words_with(raw: bytes, some: bytes) -> int:
+    """How many words hold one of these bytes."""
+    return len(raw.translate(None, bytes(set(range(256)) - set(some) - set(SPACES))).split())
+
+
 def _counter():
     hashes = WordHash()
 
@@ -63,29 +71,20 @@ def _counter():
             small = len(raw) - len(raw.translate(None, b"abcdefghijklmnopqrstuvwxyz"))
             rows.append((
                 len(found), len(text) - spaces, len(raw) - len(raw.translate(None, SYMBOLS)), len(lines) - len(set(lines)),
-                repeated_words(h), len(lines), len(np.unique(h)), capitals + small, capitals,
+                repeated_words(h), len(lines), len(np.unique(h)), capitals + small, capitals, words_with(raw, SYMBOLS), words_with(raw, LETTERS),
             ))
-        return [pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 9)]
+        return [pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * len(COUNTS))]
 
     return of
 
 
-def signals(docs: DataFrame, text_col: str) -> DataFrame:
-    """docs with a struct of counts over whole texts, and the code of the rules' votes on them."""
-    named = votes()
-    code = sum((v * 3**j for j, v in enumerate(named.values())), F.lit(0)).cast("int")
-    counted = with_columns(docs, [text_col], SIGNALS, _counter)
-    return counted.withColumn("__code", code)
-
-
 def _vote(bad: Column, good: Column | None = None) -> Column:
     found = F.when(bad, BAD)
     return (found if good is None else found.when(good, GOOD)).otherwise(0)
 
 
-def votes() -> dict[str, Column]:
-    """The rules: fixed limits, as documented in the README. Rules of a fault abstain where they do not see it."""
-    c = lambda name: F.col(f"__{name}")
+def votes(c: Callable[[str], Column]) -> dict[str, Column]:
+    """The rules on the counts c(name): fixed limits, as documented in the README. Rules of a fault abstain where they do not see it."""
     n = F.greatest(c("n_words"), F.lit(1))
     return {
         "length": _vote(c("n_words") < 20, c("n_words") >= 40),
@@ -95,78 +94,75 @@ def votes() -> dict[str, Column]:
         "repeats": _vote(c("n_repeat_words") * 100 > 30 * n),
         "capitals": _vote(c("n_capitals") * 2 > c("n_letters")),
         "variety": _vote(c("n_distinct") * 10 < n, c("n_distinct") * 4 >= n),
+        "marked": _vote(c("n_marked") * 20 > n, c("n_marked") * 50 <= n),
+        "lettered": _vote(c("n_lettered") * 10 < 8 * n, c("n_lettered") * 10 >= 9 * n),
     }
 
 
-def fit(patterns: np.ndarray, weights: np.ndarray, prior: float = PRIOR, rounds: int = 100) -> np.ndarray:
-    """patterns (rows of 0, 1, 2) and how often each occurs -> P(vote | class), shape (rules, 2, 3).
+RULES = 9
 
-    Starts from the observed rates: a vote for bad, the rarer one, is taken as half as frequent in good documents as overall and as
-    given by half of the bad ones; a vote for good as given to bad documents seven times in ten of its rate. A pseudo-count of one
-    for every vote keeps each rule's odds finite. The estimate of a rule's accuracy, the share of its votes that are right, is
-    held at LEAST_ACCURACY or more, so that rules which fire on different faults are not explained away by those that agree.
-    """
-    n_rules = patterns.shape[1]
-    table = np.empty((n_rules, 2, 3))
-    for j in range(n_rules):
-        bad, good = ((weights[patterns[:, j] == v].sum() + 1) / (weights.sum() + 3) for v in (BAD, GOOD))
-        table[j, 1, BAD], table[j, 1, GOOD] = bad / 2, good
-        table[j, 0, BAD], table[j, 0, GOOD] = max(0.5, bad), min(0.7 * good, 0.4)
-        table[j, :, 0] = np.maximum(1 - table[j, :, 1:].sum(axis=1), 1e-3)
-        table[j] /= table[j].sum(axis=1, keepdims=True)
+
+def fit(patterns: np.ndarray, weights: np.ndarray, rounds: int = 500) -> tuple[np.ndarray, float]:
+    """patterns (rows of 0, 1, 2) and how often each occurs -> P(vote | class), shape (rules, 2, 3), class 1 good; and P(good)."""
+    total = weights.sum()
+    right = np.array([[1 - BELIEF, BELIEF], [BELIEF, 1 - BELIEF], [1 - BELIEF, BELIEF]])  # of each vote: its share of bad and good documents
+    hit = np.stack([patterns == v for v in range(3)], axis=2).astype(float)  # (patterns, rules, votes)
+    seen = np.einsum("p,pjv->jv", weights, hit)
+    given = WEIGHT * (seen + total / 1000 + 1e-9)[:, None, :] * right.T
+    table, prior = given / given.sum(axis=2, keepdims=True), BELIEF
     for _ in range(rounds):
         good = posterior(patterns, table, prior)
-        before = table.copy()
-        for j in range(n_rules):
-            hit = [patterns[:, j] == v for v in range(3)]
-            counts = np.array([[(weights * share)[h].sum() + 1 for h in hit] for share in (1 - good, good)])
-            for v, right in ((BAD, 0), (GOOD, 1)):
-                both = counts[:, v].sum()
-                counts[right, v] = max(counts[right, v], LEAST_ACCURACY * both)
-                counts[1 - right, v] = both - counts[right, v]
-            table[j] = counts / counts.sum(axis=1, keepdims=True)
-        if np.abs(table - before).max() < 1e-9:
+        before = table
+        table = given + np.einsum("pc,pjv->jcv", np.stack([weights * (1 - good), weights * good], axis=1), hit)
+        table /= table.sum(axis=2, keepdims=True)
+        prior = float((weights @ good + WEIGHT * total * BELIEF) / (total * (1 + WEIGHT))) if total else BELIEF
+        if np.abs(table - before).max(initial=0) < 1e-9:
             break
-    return table
+    return table, prior
 
 
-def posterior(patterns: np.ndarray, table: np.ndarray, prior: float = PRIOR) -> np.ndarray:
-    """P(good | votes) of each pattern; to abstain says nothing."""
+def posterior(patterns: np.ndarray, table: np.ndarray, prior: float) -> np.ndarray:
+    """P(good | votes) of each pattern."""
     rules = np.arange(patterns.shape[1])
-    bad, good = (np.where(patterns > 0, np.log(table[rules, k, patterns]), 0).sum(axis=1) for k in (0, 1))
+    bad, good = (np.log(table[rules, k, patterns]).sum(axis=1) for k in (0, 1))
     return 1 / (1 + np.exp(np.clip(bad + np.log(1 - prior) - good - np.log(prior), -500, 500)))
 
 
-def judged(docs: DataFrame, text_col: str, keep_text: bool = True) -> DataFrame:
-    """Every row of docs with __ and each count's name, __posterior, __base_failed and __kept.
+def judged(docs: DataFrame, text_col: str, keep_text: bool = True) -> tuple[DataFrame, dict[str, str]]:
+    """Every row of docs with its counts, posterior, base_failed and kept; and the names of these columns, none of which docs has.
 
     The counted rows are written once; the votes' model is fitted to the table of their codes and brought back by a broadcast.
     """
     spark = docs.sparkSession
-    counted_rows = signals(docs, text_col)
-    table = written(counted_rows if keep_text else counted_rows.drop(text_col), "signals")
-    counted = table.groupBy("__code").count().collect()  # 3 ** 7 rows at most
+    names = (*COUNTS, "code", "posterior", "base_failed", "kept")
+    name = dict(zip(names, unused(docs, *(f"__{c}" for c in names)), strict=True))
+    c = lambda x: F.col(name[x])
+    code = sum((v * 3**j for j, v in enumerate(votes(c).values())), F.lit(0)).cast("int")
+    rows = with_columns(docs, [text_col], ", ".join(f"{name[x]} long" for x in COUNTS), _counter).withColumn(name["code"], code)
+    table = written(rows if keep_text else rows.drop(text_col), "signals")
+    counted = table.groupBy(name["code"]).agg(F.count("*")).collect()  # 3 ** RULES rows at most
     codes, weights = (np.array([r[i] for r in counted], np.int64) for i in (0, 1))
-    patterns = codes[:, None] // 3 ** np.arange(len(votes())) % 3 if len(codes) else np.zeros((0, len(votes())), np.int64)
-    good = posterior(patterns, fit(patterns, weights.astype(float)))
-    verdicts = spark.createDataFrame([(int(c), float(g)) for c, g in zip(codes, good, strict=True)], "__code int, __posterior double")
-    n = F.col("__n_words")
-    failed = (n < 20) | (100 * F.col("__n_repeat_words") > 30 * n)
-    return table.join(F.broadcast(verdicts), "__code").withColumn("__base_failed", failed).withColumn("__kept", ~F.col("__base_failed") & (F.col("__posterior") >= 0.5))
+    patterns = codes[:, None] // 3 ** np.arange(RULES) % 3 if len(codes) else np.zeros((0, RULES), np.int64)
+    good = posterior(patterns, *fit(patterns, weights.astype(float)))
+    verdicts = spark.createDataFrame([(int(x), float(g)) for x, g in zip(codes, good, strict=True)], f"{name['code']} int, {name['posterior']} double")
+    failed = (c("n_words") < 20) | (100 * c("n_repeat_words") > 30 * c("n_words"))
+    found = table.join(F.broadcast(verdicts), name["code"]).withColumn(name["base_failed"], failed)
+    return found.withColumn(name["kept"], ~c("base_failed") & (c("posterior") >= 0.5)), name
 
 
 def accepted(docs: DataFrame, text_col: str) -> DataFrame:
     """The rows of docs that stay, with their columns."""
-    return judged(docs, text_col).where("__kept").select(*docs.columns)
+    found, name = judged(docs, text_col)
+    return found.where(name["kept"]).select(*docs.columns)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: its counts, the base verdict, the method's posterior and whether it stays."""
     # Only counts are kept of a text here, so the table that is written is small.
     docs = documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = judged(docs, "text", keep_text=False)
+    found, name = judged(docs, "text", keep_text=False)
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
-    return found.select("doc_id", *(F.col(f"__{c}").alias(c) for c in names))
+    return found.select("doc_id", *(F.col(name[c]).alias(c) for c in names))
 
 
 QUERIES = {"op7_quality_rules": op7_quality_rules}
