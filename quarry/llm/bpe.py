@@ -1,13 +1,15 @@
 """Byte-level BPE encoding and decoding by recursive queries of DuckDB, one database in each Python worker.
 
-The distinct pre-tokens of a slab of rows become token-position rows. A recursive query joins neighbouring positions with the
-merge table (every pair of tokens whose joined bytes are a token, under that token's rank) and contracts, in each word, the
-leftmost pair of least rank, until no pair is left. Decoding joins ids with the vocabulary and aggregates the bytes in order
-of position. Ids of recurring stretches of text are remembered up to a bound. A recursion over n positions makes about n * n / 2
-rows, so pre-tokens of over LONG bytes are contracted by a heap instead, with the same result.
-
-Defined cases: a null or empty text has no ids; unknown or null ids decode to nothing; an empty table gives an empty
-result; repeated rows are coded alike; other columns are ignored.
+The distinct pre-tokens of a slab of rows become token-position rows: each step of a recursive query unnests the words that still
+change, joins neighbouring positions with the merge table (every pair of tokens whose joined bytes are a token, under that
+token's rank) and contracts, in each word, the leftmost pair of least rank, until no pair is left. The recursion is keyed by the word,
+so that one state of each word is held and no history. Decoding joins ids with the vocabulary and aggregates the bytes in order of
+position. Ids of recurring stretches of text are remembered up to a bound. A word of n bytes takes n steps of n rows, so pre-tokens of
+over LONG bytes (see the README for the time that they would take) are contracted by a heap instead, with the same result.
+
+Defined cases: a null or empty text has no ids; a very long text is a slab of its own, coded whole, PIECE bytes of distinct pre-tokens
+in one recursion; unknown or null ids decode to nothing; an empty table gives an empty result; repeated rows are coded alike;
+other columns are ignored. DuckDB never spills: what it holds is bounded by PIECE.
 """
 
 from __future__ import annotations
@@ -24,19 +26,20 @@ from pyspark.sql import functions as F
 from quarry.llm._common import documents, map_rows
 from quarry.llm.pretokens import STRETCH, Memory, Splitter, public_path, public_pattern, read_ranks
 
-LONG = 48
+LONG = 1024
+PIECE = 1 << 20
 REMEMBERED = 600_000
 
 #: The rows of a step are words with the ids left in them; their positions are unnested to be joined with the merge table.
 ENCODE = """
-WITH RECURSIVE step(w, ids) AS (
-  SELECT w, list(t ORDER BY p) FROM start GROUP BY w
-  UNION ALL
+WITH RECURSIVE step(w, ids) USING KEY (w) AS (
+  SELECT w, ids FROM start
+  UNION
   (WITH pair AS (SELECT w, unnest(ids[:-2]) AS t, unnest(ids[2:]) AS next_t, generate_subscripts(ids[2:], 1) AS p FROM step),
    best AS (SELECT w, min((o::BIGINT << 32) | p) AS b FROM pair JOIN merges ON k = (t::BIGINT << 32) | next_t GROUP BY w)
    SELECT w, ids[:(b & 4294967295) - 1] || [(b >> 32)::INT] || ids[(b & 4294967295) + 2:] FROM step JOIN best USING (w))
 )
-SELECT w, arg_min(ids, len(ids)) AS ids FROM step GROUP BY w"""
+SELECT w, ids FROM step"""
 
 #: Runs lie end to end; a group is a stretch of them of bounded length.
 DECODE = "SELECT p // 65536 AS g, string_agg(hex, '' ORDER BY p) AS hex FROM coded JOIN vocabulary USING (t) GROUP BY g ORDER BY g"
@@ -54,7 +57,7 @@ class Codec:
         pairs = [(ranks[t[:i]] << 32 | ranks[t[i:]], o) for t, o in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         merges = pa.table({"k": pa.array([k for k, _ in pairs], pa.int64()), "o": pa.array([o for _, o in pairs], pa.int32())})  # noqa: F841
         names = pa.table({"t": pa.array(list(ranks.values()), pa.int32()), "hex": pa.array([t.hex() for t in ranks])})  # noqa: F841
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges; CREATE TABLE vocabulary AS SELECT * FROM names")
 
     def _merge(self, pieces: list[str]) -> None:
@@ -66,34 +69,35 @@ class Codec:
             elif len(text) > LONG:
                 self.pieces[piece] = np.array(by_heap(text, self.ranks), "<u4").tobytes()
         short = [i for i, text in enumerate(raw) if len(text) <= LONG and text not in self.ranks]
-        if not short:
-            return
         size = np.fromiter((len(raw[i]) for i in short), np.int64, len(short))
-        place = (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
-        start = pa.table({"w": np.repeat(np.array(short, np.int32), size), "p": place, "t": self.byte[np.frombuffer(b"".join(raw[i] for i in short), np.uint8)]})
-        self.db.register("start", start)
-        found = self.db.sql(ENCODE).to_arrow_table()
-        self.db.unregister("start")
-        ids = found["ids"].combine_chunks()
-        flat, ends = ids.values.to_numpy().astype("<u4").tobytes(), (ids.offsets.to_numpy() * 4).tolist()
-        for w, a, b in zip(found["w"].to_pylist(), ends[:-1], ends[1:], strict=True):
-            self.pieces[pieces[w]] = flat[a:b]
+        part = np.cumsum(size) // PIECE
+        for k in np.unique(part).tolist():
+            some, own = np.array(short, np.int32)[part == k], size[part == k]
+            flat = self.byte[np.frombuffer(b"".join(raw[i] for i in some.tolist()), np.uint8)]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(own)]).astype(np.int32)), pa.array(flat))
+            self.db.register("start", pa.table({"w": some, "ids": lists}))
+            found = self.db.sql(ENCODE).to_arrow_table()
+            self.db.unregister("start")
+            ids = found["ids"].combine_chunks()
+            left, ends = ids.values.to_numpy().astype("<u4").tobytes(), (ids.offsets.to_numpy() * 4).tolist()
+            for w, a, b in zip(found["w"].to_pylist(), ends[:-1], ends[1:], strict=True):
+                self.pieces[pieces[w]] = left[a:b]
 
     def encode(self, texts: list[str]) -> list[list[bytes]]:
         """Of each text the ids of its stretches, in order."""
         cut = [STRETCH.findall(t) for t in texts]
         self.stretches.room()
         self.pieces.room()
-        fresh = {s: self.split(s) for s in set().union(*cut) - self.stretches.keys()}
+        fresh = {s: self.split(s) for s in set().union(*cut) if s not in self.stretches}
         if fresh:
-            self._merge(list({p for found in fresh.values() for p in found} - self.pieces.keys()))
+            self._merge([p for p in {p for found in fresh.values() for p in found} if p not in self.pieces])
             self.stretches.update((s, b"".join(map(self.pieces.__getitem__, found))) for s, found in fresh.items())
         return [list(map(self.stretches.__getitem__, found)) for found in cut]
 
     def decode(self, runs: list[list[bytes]]) -> list[bytes]:
         """Of each list of runs of ids the bytes. Decoding a sequence is decoding its runs, which recur."""
         self.texts.room()
-        fresh = list(set().union(*runs) - self.texts.keys())
+        fresh = [r for r in set().union(*runs) if r not in self.texts]
         if fresh:
             ids = np.frombuffer(b"".join(fresh), "<u4").astype(np.int32)
             coded = pa.table({"p": np.arange(len(ids)), "t": ids})
