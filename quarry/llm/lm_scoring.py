@@ -11,7 +11,7 @@ or more of all bytes to be scored (1 / COMMON grams at most) are broadcast and n
 The base needs every word's count, without a bound on distinct words: words of a share of FREQUENT or more (1 / FREQUENT words
 at most) are broadcast and never shuffled, so no key is hot; all others are joined.
 
-Defined cases: a null text is an empty one and scores its end; a null id is held out; without training text every byte
+Defined cases: a null text is an empty one and scores its end; a very long text is scored whole; a null id is held out; without training text every byte
 costs log10(256); an empty table gives an empty result; repeated rows count and score each; other columns are ignored.
 """
 
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm._common import as_bytes, documents, map_rows, remainder, words, written
+from quarry.llm._common import as_bytes, documents, map_rows, parts, remainder, tidied, words, written
 
 ORDER = 5
 START, END = 0xFE, 0xFF
@@ -82,8 +82,7 @@ def corpus_counts(texts: DataFrame) -> DataFrame:
             held = 0
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in parts(batch, 256):
                 found, outs = as_bytes(part.column(0)), part.column(1).to_pylist()
                 for text, out in zip(found, outs, strict=True):
                     if not out:
@@ -292,7 +291,15 @@ _GAINS: dict[str, dict] = {}
 
 
 def scored(docs: DataFrame, id_col: str, text_col: str, held_out: Column) -> DataFrame:
-    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; the rows not held out are trained on."""
+    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; the rows not held out are trained on.
+
+    A written table; the others made on the way are deleted.
+    """
+    with tidied(docs.sparkSession) as keep:
+        return keep(_scored(docs, id_col, text_col, held_out), "lm")
+
+
+def _scored(docs: DataFrame, id_col: str, text_col: str, held_out: Column) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select(F.col(text_col).alias("text"), held_out.alias("held"))
     counts = written(corpus_counts(texts), "counts")
