@@ -30,8 +30,8 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's pieces and their bins."""
-    return packing.packed(docs, "doc_id", "text", "source").withColumnRenamed("id", "doc_id")
+    """Each document's pieces with their texts, and their bins: the rows of a bin, joined, are a training sequence."""
+    return packing.packed_texts(docs, "doc_id", "text", "source").withColumnRenamed("id", "doc_id")
 
 
 STAGES = [
