@@ -14,7 +14,7 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators.relational import HASH, MODULUS
+from quarry.operators.relational import pseudo_random
 
 
 @dataclass
@@ -85,14 +85,12 @@ class Lineage:
         return self.spark.read.schema(LINEAGE).parquet(self.path)
 
     def ancestors(self, of: str) -> list[str]:
-        """All that an output rests on, nearest first; an output's history is short, so it is walked here."""
-        parents = {r["id"]: r["inputs"] for r in self.events().select("id", "inputs").collect()}
-        found, todo = [], list(parents.get(of, ()))
+        """All that an output rests on, nearest first: generation by generation, so that of the log only an output's own history is read out."""
+        events, found, todo = self.events().select("id", "inputs"), [], [of]
         while todo:
-            now = todo.pop(0)
-            if now not in found:
-                found.append(now)
-                todo += parents.get(now, ())
+            inputs = {r["id"]: r["inputs"] for r in events.where(F.col("id").isin(todo)).collect()}
+            todo = list(dict.fromkeys(i for t in todo for i in inputs.get(t, ()) if i not in found))
+            found += todo
         return found
 
 
@@ -109,8 +107,7 @@ def random_points(space: Mapping[str, Sequence], n: int, seed: int = 0) -> Itera
 
 def cross_validated(df: DataFrame, id_col: str, k: int, fit: Callable[[DataFrame], object], score: Callable[[object, DataFrame], float], seed: int = 0) -> list[float]:
     """A score for each fold; a row's fold is that of its id's hash."""
-    fold = F.pmod(F.floor(F.pmod(F.col(id_col).cast("long") * F.lit(HASH) + F.lit(seed), F.lit(MODULUS)) / 65536), F.lit(k))
-    rows = df.withColumn("__fold", fold)
+    rows = df.withColumn("__fold", pseudo_random(id_col, seed) % k)
     return [score(fit(rows.where(F.col("__fold") != i).drop("__fold")), rows.where(F.col("__fold") == i).drop("__fold")) for i in range(k)]
 
 

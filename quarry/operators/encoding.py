@@ -11,12 +11,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quarry.operators.relational import HASH, MODULUS
+from quarry.operators.relational import pseudo_random
 
 
-def categories(df: DataFrame, column: str) -> list[str]:
-    """Distinct values as sorted text; for encoders that make a column for each, so few by nature."""
-    return [r[0] for r in df.select(F.col(column).cast("string").alias("v")).where("v IS NOT NULL").distinct().orderBy("v").collect()]
+def categories(df: DataFrame, column: str, most: int = 10_000) -> list[str]:
+    """Distinct values as sorted text, for encoders that make a column for each; more than `most` are an error."""
+    found = [r[0] for r in df.select(F.col(column).cast("string").alias("v")).where("v IS NOT NULL").distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{column} has more than {most} categories")
+    return sorted(found)
 
 
 def label_table(df: DataFrame, column: str) -> DataFrame:
@@ -139,8 +142,7 @@ def evidence_weights(table: DataFrame, regularization: float = 0.5) -> DataFrame
 
 def out_of_fold_means(df: DataFrame, id_col: str, column: str, target: str, k: int, smoothing: float) -> DataFrame:
     """Each row gets its category's smoothed mean over the other folds: whole sums less the fold's own."""
-    fold = F.pmod(F.floor(F.pmod(F.col(id_col).cast("long") * F.lit(HASH), F.lit(MODULUS)) / 65536), F.lit(k))
-    rows = df.withColumn("__f", fold)
+    rows = df.withColumn("__f", pseudo_random(id_col) % k)
     y = F.col(target).cast("double")
     cell = rows.groupBy(column, "__f").agg(F.count(y).alias("__n"), F.sum(y).alias("__s"))
     by_cat = cell.groupBy(column).agg(F.sum("__n").alias("__cn"), F.sum("__s").alias("__cs"))

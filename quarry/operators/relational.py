@@ -13,7 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-HASH, MODULUS = 2654435761, 4294967296
+from quarry.operators._store import stored
+
+#: Random numbers are whole numbers below this.
+MODULUS = 1 << 60
 
 
 def select_columns(df: DataFrame, columns: Sequence[str | int]) -> DataFrame:
@@ -37,12 +40,34 @@ def where(df: DataFrame, condition: str | Column | Callable[[DataFrame], Column]
 
 
 def dense_number(df: DataFrame, order: Sequence[str], name: str = "row_no") -> DataFrame:
-    """A number from 0 in the order of `order`, without one task seeing all rows: range partitions, their sizes, then local numbers."""
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
-    sizes = placed.groupBy("__p").agg(F.count("*").alias("__n"))
-    starts = sizes.select("__p", F.coalesce(F.sum("__n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
-    local = placed.withColumn("__k", F.row_number().over(W.partitionBy("__p").orderBy(*order)) - 1)
-    return local.join(F.broadcast(starts), "__p").withColumn(name, (F.col("__start") + F.col("__k")).cast("long")).drop("__p", "__start", "__k")
+    """A number from 0 in the order of `order`, without one task seeing all rows.
+
+    Rows are sorted into range partitions and written once with their place (partition, and number within it); the partitions'
+    sizes, read from the same table, give each one's first number.
+    """
+    placed = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id()), "placed")
+    sizes = placed.groupBy(F.shiftright("__m", 33).alias("__p")).agg(F.count("*").alias("__n"))
+    starts = sizes.select("__p", F.coalesce(F.sum("__n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__start"))  # a row a partition
+    local = placed.withColumn("__p", F.shiftright("__m", 33)).withColumn("__k", F.col("__m").bitwiseAND(F.lit((1 << 33) - 1)))
+    return local.join(F.broadcast(starts), "__p").withColumn(name, (F.col("__start") + F.col("__k")).cast("long")).drop("__p", "__m", "__start", "__k")
+
+
+def running_sums(df: DataFrame, by: str, sums: Mapping[str, str | Column], parts: int = 64) -> DataFrame:
+    """Adds for each name the sum of its column over the rows before, in the order of the numeric column `by`; for rows of distinct values.
+
+    Approximate quantiles of the values cut them into `parts` stretches: sums within a stretch, and the sums of the stretches before it.
+    """
+    x = F.col(by).cast("double")
+    at = df.agg(F.percentile_approx(x, [i / parts for i in range(1, parts)], 2000)).first()[0]
+    bounds = F.array(*(F.lit(float(v)) for v in sorted(set(at or [0.0]))))
+    values = {n: F.col(c) if isinstance(c, str) else c for n, c in sums.items()}
+    cut = df.withColumn("__b", F.size(F.filter(bounds, lambda v: v <= x)))
+    whole = cut.groupBy("__b").agg(*(F.sum(c).alias(n) for n, c in values.items()))
+    before = W.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
+    starts = whole.select("__b", *(F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"__s_{n}") for n in values))  # `parts` rows
+    within = W.partitionBy("__b").orderBy(by).rowsBetween(W.unboundedPreceding, -1)
+    summed = cut.withColumns({n: F.coalesce(F.sum(c).over(within), F.lit(0)) for n, c in values.items()})
+    return summed.join(F.broadcast(starts), "__b").withColumns({n: F.col(n) + F.col(f"__s_{n}") for n in values}).drop("__b", *(f"__s_{n}" for n in values))
 
 
 def rows_at(df: DataFrame, order: Sequence[str], start: int | None = None, stop: int | None = None, step: int = 1, positions: Sequence[int] | None = None) -> DataFrame:
@@ -140,9 +165,10 @@ def duplicate_groups(df: DataFrame, subset: Sequence[str]) -> DataFrame:
     return df.groupBy(*subset).agg(F.count("*").alias("n")).where("n > 1").withColumn("extra", F.col("n") - 1)
 
 
-def pseudo_random(id_col: str, seed: int = 0) -> Column:
-    """A fixed number for each id in [0, 2 ** 32): the same in any engine with 64-bit integers."""
-    return F.pmod(F.col(id_col).cast("long") * F.lit(HASH) + F.lit(seed), F.lit(MODULUS))
+def pseudo_random(id_col: str, seed: int | Column = 0) -> Column:
+    """A fixed number for each id and seed in [0, MODULUS): digits of the MD5 digest of both as text, so the same in any engine, for any id."""
+    text = F.concat_ws(":", F.col(id_col).cast("string"), (seed if isinstance(seed, Column) else F.lit(seed)).cast("string"))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def shuffled(df: DataFrame, id_col: str, seed: int = 0, name: str = "row_no") -> DataFrame:
@@ -184,8 +210,7 @@ def stratified_folds(df: DataFrame, id_col: str, label: str, k: int, seed: int =
 def repeated_folds(df: DataFrame, id_col: str, k: int, repeats: int, seed: int = 0) -> DataFrame:
     """Each row once for each repeat, with the fold of that repeat's own order."""
     each = df.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    h = F.pmod(F.col(id_col).cast("long") * F.lit(HASH) + F.lit(seed) + F.col("repeat") * 40503, F.lit(MODULUS))
-    return each.withColumn("fold", F.pmod(F.floor(h / 65536), F.lit(k)).cast("int"))
+    return each.withColumn("fold", (pseudo_random(id_col, F.lit(seed) + F.col("repeat")) % k).cast("int"))
 
 
 def time_series_splits(df: DataFrame, order: Sequence[str], n_splits: int, test_size: int, gap: int = 0) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quarry.operators.relational import HASH, MODULUS, dense_number, pseudo_random
+from quarry.operators.relational import MODULUS, dense_number, pseudo_random
 
 
 def unit(id_col: str, seed: int = 0) -> Column:
@@ -30,7 +30,7 @@ def bootstrap(df: DataFrame, id_col: str, n: int, seed: int = 0) -> DataFrame:
     """n draws with replacement (draw, and the row): draws name places in the order of the ids, and are joined to them."""
     total = df.count()
     placed = dense_number(df, [id_col], "__place")
-    draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), F.pmod(F.floor(F.pmod((F.col("id") + 1) * F.lit(HASH) + F.lit(seed), F.lit(MODULUS)) / 7), F.lit(max(total, 1))).alias("__place"))
+    draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), (pseudo_random("id", seed) % max(total, 1)).alias("__place"))
     return draws.join(placed, "__place").drop("__place")
 
 

@@ -275,12 +275,12 @@ def _(t):
     return x.sparkSession.createDataFrame([(i, c) for i, c in enumerate(fe.min_redundancy(x, COLS, "l_returnflag", 3))], "place int, name string")
 
 
-@query("undersample", "WITH s AS (SELECT min(c) m FROM (SELECT count(*) c FROM orders GROUP BY o_orderstatus)) SELECT o_orderkey, o_orderstatus FROM (SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY (o_orderkey * 2654435761) % 4294967296, o_orderkey) n FROM orders), s WHERE n <= m")
+@query("undersample", "WITH s AS (SELECT min(c) m FROM (SELECT count(*) c FROM orders GROUP BY o_orderstatus)) SELECT o_orderkey, o_orderstatus FROM (SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR) || ':0'), 1, 15) AS BIGINT), o_orderkey) n FROM orders), s WHERE n <= m")
 def _(t):
     return fe.undersampled(t("orders"), "o_orderkey", "o_orderstatus").select("o_orderkey", "o_orderstatus")
 
 
-@query("oversample", "WITH a AS (SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY (o_orderkey * 2654435761) % 4294967296, o_orderkey) p, count(*) OVER (PARTITION BY o_orderstatus) c FROM orders), b AS (SELECT *, max(c) OVER () m FROM a) SELECT o_orderkey, o_orderstatus, unnest(range(m // c + CASE WHEN p <= m % c THEN 1 ELSE 0 END)) AS copy FROM b")
+@query("oversample", "WITH a AS (SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR) || ':0'), 1, 15) AS BIGINT), o_orderkey) p, count(*) OVER (PARTITION BY o_orderstatus) c FROM orders), b AS (SELECT *, max(c) OVER () m FROM a) SELECT o_orderkey, o_orderstatus, unnest(range(m // c + CASE WHEN p <= m % c THEN 1 ELSE 0 END)) AS copy FROM b")
 def _(t):
     return fe.oversampled(t("orders"), "o_orderkey", "o_orderstatus").select("o_orderkey", "o_orderstatus", "copy")
 

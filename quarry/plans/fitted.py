@@ -149,7 +149,7 @@ def _(t):
 
 @query(
     "encode_target_folds",
-    f"""WITH b AS (SELECT o_orderkey, o_orderpriority AS g, CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END AS y, ({h("o_orderkey")} // 65536) % 5 AS f FROM orders)
+    f"""WITH b AS (SELECT o_orderkey, o_orderpriority AS g, CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END AS y, {h("o_orderkey")} % 5 AS f FROM orders)
     SELECT o_orderkey, round((sum(y) OVER (PARTITION BY g) - sum(y) OVER (PARTITION BY g, f) + 10 * (sum(y) OVER () - sum(y) OVER (PARTITION BY f)) / (count(*) OVER () - count(*) OVER (PARTITION BY f))) / (count(*) OVER (PARTITION BY g) - count(*) OVER (PARTITION BY g, f) + 10), 8) AS encoded FROM b""",
 )
 def _(t):

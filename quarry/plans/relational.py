@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quarry.operators import relational as r
 from quarry.plans.registry import query
 
-H = "((CAST({id} AS BIGINT) * 2654435761 + {seed}) % 4294967296)"
+H = "CAST('0x' || substr(md5(CAST({id} AS VARCHAR) || ':' || {seed}), 1, 15) AS BIGINT)"
 
 
 def h(id_: str, seed: int = 0) -> str:
@@ -97,10 +97,10 @@ def _(t):
     return r.stack_rows([t("customer").select(F.col("c_nationkey").alias("k"), F.col("c_acctbal").alias("b")), t("supplier").select(F.col("s_acctbal").alias("b"), F.col("s_nationkey").alias("k"))])
 
 
-@query("concat_columns", "SELECT a.p_partkey, b.p_name FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS n FROM part) a JOIN (SELECT p_name, row_number() OVER (ORDER BY p_name, p_partkey) AS n FROM part) b USING (n)")
+@query("concat_columns", "SELECT a.p_partkey, a.p_type, b.p_name, b.p_retailprice FROM (SELECT p_partkey, p_type, row_number() OVER (ORDER BY p_partkey) AS n FROM part) a JOIN (SELECT p_name, p_retailprice, row_number() OVER (ORDER BY p_name, p_partkey) AS n FROM part) b USING (n)")
 def _(t):
     p = t("part")
-    return r.stack_columns([p.select("p_partkey"), p.select("p_name", F.col("p_partkey").alias("x"))], [["p_partkey"], ["p_name", "x"]]).drop("x")
+    return r.stack_columns([p.select("p_partkey", "p_type"), p.select("p_name", "p_retailprice", F.col("p_partkey").alias("x"))], [["p_partkey"], ["p_name", "x"]]).drop("x")
 
 
 for _keep, _sql in (("first", "row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1"), ("last", "row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1"), (False, "count(*) OVER (PARTITION BY user_id, event_type) = 1")):
@@ -120,9 +120,9 @@ def _(t):
     return r.shuffled(t("orders").select("o_orderkey"), "o_orderkey", 7)
 
 
-@query("random_split", f"SELECT o_orderkey, CASE WHEN n < floor(0.6 * c) THEN 0 WHEN n < floor(0.6 * c) + floor(0.2 * c) THEN 1 ELSE 2 END AS part FROM (SELECT o_orderkey, row_number() OVER (ORDER BY {h('o_orderkey', 3)}, o_orderkey) - 1 AS n, count(*) OVER () AS c FROM orders)")
+@query("random_split", f"SELECT o_orderkey, o_totalprice, o_orderdate, CASE WHEN n < floor(0.6 * c) THEN 0 WHEN n < floor(0.6 * c) + floor(0.2 * c) THEN 1 ELSE 2 END AS part FROM (SELECT o_orderkey, o_totalprice, o_orderdate, row_number() OVER (ORDER BY {h('o_orderkey', 3)}, o_orderkey) - 1 AS n, count(*) OVER () AS c FROM orders)")
 def _(t):
-    return r.random_split(t("orders").select("o_orderkey"), "o_orderkey", [0.6, 0.2], 3)
+    return r.random_split(t("orders").select("o_orderkey", "o_totalprice", "o_orderdate"), "o_orderkey", [0.6, 0.2], 3)
 
 
 @query("stratified_split", f"SELECT o_orderkey, n <= greatest(1, floor(0.3 * c)) AS is_test FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY {h('o_orderkey')}, o_orderkey) AS n, count(*) OVER (PARTITION BY o_orderpriority) AS c FROM orders)")
@@ -144,19 +144,19 @@ def _(t):
     return r.stratified_folds(t("orders").select("o_orderkey", "o_orderpriority"), "o_orderkey", "o_orderpriority", 4, contiguous=True).select("o_orderkey", "fold")
 
 
-@query("repeated_folds", "SELECT c_custkey, repeat, CAST((((c_custkey * 2654435761 + 1 + repeat * 40503) % 4294967296) // 65536) % 5 AS INTEGER) AS fold FROM customer, (SELECT CAST(unnest(range(3)) AS INTEGER) AS repeat)")
+@query("repeated_folds", "SELECT c_custkey, repeat, CAST(CAST('0x' || substr(md5(c_custkey || ':' || (1 + repeat)), 1, 15) AS BIGINT) % 5 AS INTEGER) AS fold FROM customer, (SELECT CAST(unnest(range(3)) AS INTEGER) AS repeat)")
 def _(t):
     return r.repeated_folds(t("customer").select("c_custkey"), "c_custkey", 5, 3, 1)
 
 
 @query(
     "time_series_split",
-    """WITH o AS (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS n, count(*) OVER () AS c FROM events), s AS (SELECT CAST(unnest(range(3)) AS INTEGER) AS split)
-    SELECT event_id, split, CASE WHEN n < c - (3 - split) * 500 - 50 THEN 'train' ELSE 'test' END AS role FROM o, s
+    """WITH o AS (SELECT event_id, value, row_number() OVER (ORDER BY ts, event_id) - 1 AS n, count(*) OVER () AS c FROM events), s AS (SELECT CAST(unnest(range(3)) AS INTEGER) AS split)
+    SELECT event_id, value, split, CASE WHEN n < c - (3 - split) * 500 - 50 THEN 'train' ELSE 'test' END AS role FROM o, s
     WHERE n < c - (3 - split) * 500 - 50 OR (n >= c - (3 - split) * 500 AND n < c - (3 - split) * 500 + 500)""",
 )
 def _(t):
-    return r.time_series_splits(t("events").select("event_id", "ts"), ["ts", "event_id"], 3, 500, 50).select("event_id", "split", "role")
+    return r.time_series_splits(t("events"), ["ts", "event_id"], 3, 500, 50).select("event_id", "value", "split", "role")
 
 
 @query("crosstab", "SELECT o_orderpriority, coalesce(round(sum(o_totalprice) FILTER (o_orderstatus = 'F'), 2), 0) AS F, coalesce(round(sum(o_totalprice) FILTER (o_orderstatus = 'O'), 2), 0) AS O FROM orders GROUP BY 1")

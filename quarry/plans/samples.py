@@ -43,14 +43,14 @@ def _(t):
     return t("lineitem").select("l_orderkey", "l_linenumber", (a & b).alias("both"), (a != b).alias("one"))
 
 
-query("sample_fraction", f"SELECT o_orderkey FROM orders WHERE {h('o_orderkey', 5)} / 4294967296 < 0.2")(lambda t: s.fraction(t("orders"), "o_orderkey", 0.2, 5).select("o_orderkey"))
+query("sample_fraction", f"SELECT o_orderkey FROM orders WHERE {h('o_orderkey', 5)} / 1152921504606846976 < 0.2")(lambda t: s.fraction(t("orders"), "o_orderkey", 0.2, 5).select("o_orderkey"))
 query("sample_exactly", f"SELECT o_orderkey FROM orders ORDER BY {h('o_orderkey', 5)}, o_orderkey LIMIT 321")(lambda t: s.exactly(t("orders"), "o_orderkey", 321, 5).select("o_orderkey"))
-query("sample_bootstrap", "WITH c AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 p, count(*) OVER () n FROM customer), d AS (SELECT unnest(range(700)) AS draw) SELECT draw, c_custkey FROM d JOIN c ON p = ((((draw + 1) * 2654435761 + 9) % 4294967296) // 7) % n")(lambda t: s.bootstrap(t("customer").select("c_custkey"), "c_custkey", 700, 9))
+query("sample_bootstrap", "WITH c AS (SELECT c_custkey, c_acctbal, row_number() OVER (ORDER BY c_custkey) - 1 p, count(*) OVER () n FROM customer), d AS (SELECT unnest(range(700)) AS draw) SELECT draw, c_custkey, c_acctbal FROM d JOIN c ON p = CAST('0x' || substr(md5(draw || ':' || 9), 1, 15) AS BIGINT) % n")(lambda t: s.bootstrap(t("customer").select("c_custkey", "c_acctbal"), "c_custkey", 700, 9))
 query("sample_per_class", f"SELECT o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY {h('o_orderkey', 1)}, o_orderkey) <= 50")(lambda t: s.per_class(t("orders"), "o_orderkey", "o_orderpriority", 50, 1).select("o_orderkey"))
 query("sample_stratified", f"SELECT o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderstatus ORDER BY {h('o_orderkey', 2)}, o_orderkey) <= ceil(count(*) OVER (PARTITION BY o_orderstatus) * 0.1)")(lambda t: s.proportional(t("orders"), "o_orderkey", "o_orderstatus", 0.1, 2).select("o_orderkey"))
-query("sample_weighted", f"SELECT o_orderkey FROM orders ORDER BY ln(({h('o_orderkey', 4)} + 1) / 4294967297) / o_totalprice DESC, o_orderkey LIMIT 200")(lambda t: s.weighted(t("orders"), "o_orderkey", "o_totalprice", 200, 4).select("o_orderkey"))
-query("mini_batches", f"SELECT o_orderkey, (row_number() OVER (ORDER BY {h('o_orderkey', 6)}, o_orderkey) - 1) // 128 AS batch FROM orders")(lambda t: s.mini_batches(t("orders").select("o_orderkey"), "o_orderkey", 128, 6))
-query("perturbation", f"SELECT c_custkey, round(c_acctbal + ({h('c_custkey', 8)} / 4294967296 * 2 - 1) * 10, 6) AS c_acctbal FROM customer")(lambda t: rounded(s.perturbed(t("customer").select("c_custkey", "c_acctbal"), "c_custkey", ["c_acctbal"], 10.0, 8)))
+query("sample_weighted", f"SELECT o_orderkey FROM orders ORDER BY ln(({h('o_orderkey', 4)} + 1) / 1152921504606846977) / o_totalprice DESC, o_orderkey LIMIT 200")(lambda t: s.weighted(t("orders"), "o_orderkey", "o_totalprice", 200, 4).select("o_orderkey"))
+query("mini_batches", f"SELECT o_orderkey, o_totalprice, (row_number() OVER (ORDER BY {h('o_orderkey', 6)}, o_orderkey) - 1) // 128 AS batch FROM orders")(lambda t: s.mini_batches(t("orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 128, 6))
+query("perturbation", f"SELECT c_custkey, round(c_acctbal + ({h('c_custkey', 8)} / 1152921504606846976 * 2 - 1) * 10, 6) AS c_acctbal FROM customer")(lambda t: rounded(s.perturbed(t("customer").select("c_custkey", "c_acctbal"), "c_custkey", ["c_acctbal"], 10.0, 8)))
 query("mixing", "SELECT c_custkey, round(0.7 * c_acctbal + 0.3 * coalesce(lead(c_acctbal) OVER (ORDER BY c_custkey), first_value(c_acctbal) OVER (ORDER BY c_custkey)), 6) AS c_acctbal FROM customer")(lambda t: rounded(s.mixed(t("customer"), "c_custkey", ["c_acctbal"], 0.7)))
 
 

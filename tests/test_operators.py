@@ -4,6 +4,7 @@ import inspect
 import math
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry import sources, streaming
@@ -146,3 +147,47 @@ def test_stream_equals_batch(spark, tmp_path):
     key = lambda r: (r["start"], r["event_type"], r["n"])
     assert sorted(map(key, got)) == sorted(map(key, want))
     assert math.isclose(sum(r["total"] for r in got), sum(r["total"] for r in want))
+
+
+def test_row_numbers_are_whole_with_payload_columns(spark, tmp_path):
+    """Written and read, under adaptive execution with its defaults, over enough rows for many partitions."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/lineitem.parquet")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        relational.dense_number(rows, ["l_orderkey", "l_linenumber"]).write.parquet(str(tmp_path / "n"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    got = spark.read.parquet(str(tmp_path / "n"))
+    n = rows.count()
+    assert got.select("row_no").distinct().count() == n == got.agg(F.max("row_no") + 1).first()[0]
+    w = Window.orderBy("l_orderkey", "l_linenumber")
+    assert got.select("row_no", (F.row_number().over(w) - 1).alias("k")).where("row_no <> k").count() == 0
+    assert got.drop("row_no").exceptAll(rows).count() == 0
+
+
+def test_running_sums_equal_one_window(spark):
+    rows = spark.range(5000).select((F.col("id") * 7 % 5003).cast("double").alias("x"), (F.col("id") % 11).alias("c"))
+    got = relational.running_sums(rows, "x", {"before": "c"}, parts=9)
+    plain = F.coalesce(F.sum("c").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    assert got.withColumn("plain", plain).where("before <> plain").count() == 0 and got.count() == 5000
+    assert relational.running_sums(rows.where("x < 0"), "x", {"before": "c"}).count() == 0
+
+
+def test_random_numbers_mix_ids_and_seeds(spark):
+    ids = spark.range(20000).select((F.col("id") + (1 << 61)).alias("id"))
+    folds = relational.repeated_folds(ids, "id", 5, 3).groupBy("id").pivot("repeat", [0, 1, 2]).agg(F.first("fold"))
+    for a, b in ((0, 1), (0, 2), (1, 2)):
+        same = folds.where(F.col(str(a)) == F.col(str(b))).count() / 20000
+        assert abs(same - 0.2) < 0.02
+    sizes = [r[1] for r in folds.groupBy("0").count().collect()]
+    assert max(sizes) / min(sizes) < 1.15
+    u = ids.select(relational.pseudo_random("id", 1).alias("a"), relational.pseudo_random("id", 2).alias("b"))
+    assert abs(u.agg(F.corr("a", "b")).first()[0]) < 0.03
+
+
+def test_least_squares_counts_rows_without_nulls(spark):
+    rows = spark.createDataFrame([(float(i), float(i * i % 7), None if i % 4 == 0 else 3.0 * i + 1) for i in range(40)], "a double, b double, y double")
+    whole = models.fit_linear(rows, ["a", "b"], "y", ridge=2.0)
+    clean = models.fit_linear(rows.dropna(), ["a", "b"], "y", ridge=2.0)
+    assert whole == clean
