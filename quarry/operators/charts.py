@@ -26,7 +26,7 @@ def box_stats(df: DataFrame, column: str, by: Sequence[str]) -> DataFrame:
     q = df.groupBy(*by).agg(*(F.percentile(column, F.lit(p)).alias(n) for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col(column).between(F.col("q1") - reach, F.col("q3") + reach)
-    t = df.join(F.broadcast(q), list(by))
+    t = df.join(q, list(by))
     return t.groupBy(*by, "q1", "median", "q3").agg(F.min(F.when(inside, F.col(column))).alias("low"), F.max(F.when(inside, F.col(column))).alias("high"), F.count_if(~inside).alias("outliers"))
 
 

@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quarry.functions import special
+from quarry.operators.relational import running_sums
 
 
 def ks_normal(df: DataFrame, value: str) -> DataFrame:
     """(n, d): the largest gap between the sample's and its normal law's distribution functions."""
     x = F.col(value).cast("double")
     st = df.agg(F.count(x).alias("n"), F.avg(x).alias("m"), F.stddev_samp(x).alias("s"))
-    t = df.groupBy(x.alias("x")).agg(F.count("*").alias("c")).withColumn("hi", F.sum("c").over(W.orderBy("x"))).crossJoin(F.broadcast(st))
+    t = running_sums(df.where(x.isNotNull()).groupBy(x.alias("x")).agg(F.count("*").alias("c")), "x", {"lo": "c"}).withColumn("hi", F.col("lo") + F.col("c")).crossJoin(F.broadcast(st))
     p = special.norm_cdf((F.col("x") - F.col("m")) / F.col("s"))
     gap = F.greatest(F.col("hi") / F.col("n") - p, p - (F.col("hi") - F.col("c")) / F.col("n"))
     return t.groupBy("n").agg(F.max(gap).alias("d"))

@@ -135,7 +135,7 @@ def oversampled(df: DataFrame, id_col: str, label: str, seed: int = 0) -> DataFr
     sizes = df.groupBy(label).agg(F.count("*").alias("__c"))
     sizes = sizes.withColumn("__m", F.max("__c").over(W.partitionBy()))
     place = F.row_number().over(W.partitionBy(label).orderBy(pseudo_random(id_col, seed), id_col))
-    t = df.withColumn("__p", place).join(F.broadcast(sizes), label)
+    t = df.withColumn("__p", place).join(sizes, label)
     copies = F.floor(F.col("__m") / F.col("__c")) + (F.col("__p") <= F.col("__m") % F.col("__c")).cast("long")
     return t.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1))).drop("__p", "__c", "__m")
 

@@ -75,11 +75,11 @@ def confusion(df: DataFrame, y: str, p: str) -> DataFrame:
 
 def roc_auc(df: DataFrame, y: str, score: str) -> DataFrame:
     """Area under the ROC curve from counts of distinct scores: a positive beats lower negatives, and ties count half."""
-    from pyspark.sql import Window as W
+    from quarry.operators.relational import running_sums
 
-    t = df.groupBy(score).agg(F.count_if(F.col(y) == 1).alias("a"), F.count_if(F.col(y) == 0).alias("b"))
-    below = F.coalesce(F.sum("b").over(W.orderBy(score).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return t.withColumn("won", F.col("a") * (below + F.col("b") / 2)).agg((F.sum("won") / (F.sum("a") * F.sum("b"))).alias("auc"))
+    t = df.where(F.col(score).isNotNull()).groupBy(score).agg(F.count_if(F.col(y) == 1).alias("a"), F.count_if(F.col(y) == 0).alias("b"))
+    placed = running_sums(t, score, {"below": "b"})
+    return placed.withColumn("won", F.col("a") * (F.col("below") + F.col("b") / 2)).agg((F.sum("won") / (F.sum("a") * F.sum("b"))).alias("auc"))
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = 6371.0) -> Column:

@@ -25,8 +25,9 @@ def fit_linear(df: DataFrame, columns: Sequence[str], target: str, ridge: float
 
     from quarry.operators.statistics import factor_covariance
 
-    means, cov = factor_covariance(df, [*columns, target])
-    n = df.count()
+    rows = df.select(*columns, target).dropna()
+    means, cov = factor_covariance(rows, [*columns, target])
+    n = rows.count()
     k = len(columns)
     a = cov[:k, :k] * (n - 1) + ridge * np.eye(k)
     w = np.linalg.pinv(a) @ (cov[:k, k] * (n - 1))

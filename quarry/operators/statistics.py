@@ -8,8 +8,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import NumericType
 
 from quarry.functions import special
+from quarry.operators.relational import dense_number, running_sums
 
 
 def summary(df: DataFrame, columns: Sequence[str], quantiles: Sequence[float] = (0.25, 0.5, 0.75), sample_std: bool = False) -> DataFrame:
@@ -28,12 +30,10 @@ def summary(df: DataFrame, columns: Sequence[str], quantiles: Sequence[float] =
 def moments(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     """n, mean, std (population), skew = m3 n / ((n - 1)(n - 2)) and excess kurtosis of the standardised values; a constant column gives 0 and -3."""
     x = F.col(column).cast("double")
-    first = df.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"))
-    joined = df.join(F.broadcast(first), list(by)) if by else df.crossJoin(F.broadcast(first))
-    z = F.when(F.col("std") > 0, (x - F.col("mean")) / F.col("std")).otherwise(0.0)
-    m = joined.groupBy(*by, "n", "mean", "std").agg(F.avg(z**3).alias("m3"), F.avg(z**4).alias("m4"))
-    n = F.col("n")
-    return m.select(*by, "n", "mean", "std", F.when(n > 2, F.col("m3") * n * n / ((n - 1) * (n - 2))).alias("skew"), (F.col("m4") - 3).alias("kurtosis"))
+    m = df.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.skewness(x).alias("m3"), F.kurtosis(x).alias("m4"))
+    n, flat = F.col("n"), F.col("std") == 0
+    skew = F.when(flat, 0.0).otherwise(F.col("m3")) * n * n / ((n - 1) * (n - 2))
+    return m.select(*by, "n", "mean", "std", F.when(n > 2, skew).alias("skew"), F.when(flat, -3.0).otherwise(F.col("m4")).alias("kurtosis"))
 
 
 def median_absolute_deviation(df: DataFrame, column: str, center: float | None = None) -> float:
@@ -46,8 +46,12 @@ def median_absolute_deviation(df: DataFrame, column: str, center: float | None =
 def average_ranks(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "rank") -> DataFrame:
     """Ranks from 1, ties averaged. Equal values are counted first, so the running count sees each distinct value once."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__t"))
-    before = F.coalesce(F.sum("__t").over(W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return df.join(counts.withColumn(name, before + (F.col("__t") + 1) / 2).drop("__t"), [*by, value])
+    if by or not isinstance(df.schema[value].dataType, NumericType):
+        before = F.sum("__t").over(W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, -1))
+        placed = counts.withColumn("__before", F.coalesce(before, F.lit(0)))
+    else:
+        placed = running_sums(counts, value, {"__before": "__t"})
+    return df.join(placed.withColumn(name, F.col("__before") + (F.col("__t") + 1) / 2).drop("__t", "__before"), [*by, value])
 
 
 def pearson(df: DataFrame, x: str, y: str) -> dict[str, float]:
@@ -83,10 +87,11 @@ def paired_t(df: DataFrame, x: str, y: str) -> dict[str, float]:
 
 def ks_two_sample(df: DataFrame, value: str, is_first: Column) -> DataFrame:
     """(n1, n2, d): the largest gap of the two distribution functions, from counts of distinct values."""
-    t = df.groupBy(value).agg(F.count_if(is_first).alias("a"), F.count_if(~is_first).alias("b"))
-    w, all_ = W.orderBy(value), W.partitionBy()
-    gap = F.abs(F.sum("a").over(w) / F.sum("a").over(all_) - F.sum("b").over(w) / F.sum("b").over(all_))
-    return t.withColumn("gap", gap).agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"), F.max("gap").alias("d"))
+    t = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count_if(is_first).alias("a"), F.count_if(~is_first).alias("b"))
+    total = t.agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"))
+    placed = running_sums(t, value, {"lo_a": "a", "lo_b": "b"}).crossJoin(F.broadcast(total))
+    gap = F.abs((F.col("lo_a") + F.col("a")) / F.col("n1") - (F.col("lo_b") + F.col("b")) / F.col("n2"))
+    return placed.groupBy("n1", "n2").agg(F.max(gap).alias("d"))
 
 
 def ks_p_value(d: float, n1: int, n2: int) -> float:
@@ -136,7 +141,7 @@ def anderson_darling_normal(df: DataFrame, value: str) -> DataFrame:
     """
     x = F.col(value).cast("double")
     st = df.agg(F.count(x).alias("n"), F.avg(x).alias("m"), F.stddev_samp(x).alias("s"))
-    t = df.groupBy(x.alias("x")).agg(F.count("*").alias("c")).withColumn("hi", F.sum("c").over(W.orderBy("x"))).withColumn("lo", F.col("hi") - F.col("c")).crossJoin(F.broadcast(st))
+    t = running_sums(df.where(x.isNotNull()).groupBy(x.alias("x")).agg(F.count("*").alias("c")), "x", {"lo": "c"}).withColumn("hi", F.col("lo") + F.col("c")).crossJoin(F.broadcast(st))
     p = F.greatest(F.least(special.norm_cdf((F.col("x") - F.col("m")) / F.col("s")), F.lit(1 - 1e-12)), F.lit(1e-12))
     n, lo, hi = F.col("n"), F.col("lo"), F.col("hi")
     up = hi * hi - lo * lo  # the sum of 2 i - 1 over the run
@@ -164,9 +169,10 @@ def adjusted_p_values(df: DataFrame, p: str, method: str = "bh") -> DataFrame:
     """Benjamini-Hochberg (the least p from the top, times m over the rank, at most 1), or Bonferroni."""
     if method == "bonferroni":
         return df.withColumn("adjusted", F.least(F.lit(1.0), F.col(p) * F.count("*").over(W.partitionBy())))
-    w = W.orderBy(p)
-    low = F.min(p).over(W.orderBy(F.desc(p)).rowsBetween(W.unboundedPreceding, 0))
-    return df.withColumn("adjusted", F.least(F.lit(1.0), low * F.count("*").over(W.partitionBy()) / F.row_number().over(w)))
+    known = df.where(F.col(p).isNotNull())
+    total = known.agg(F.count("*").alias("__m"))
+    placed = dense_number(known, [p], "__rank").crossJoin(F.broadcast(total))
+    return placed.withColumn("adjusted", F.least(F.lit(1.0), F.col(p) * F.col("__m") / (F.col("__rank") + 1))).drop("__rank", "__m")
 
 
 def variance_inflation(df: DataFrame, columns: Sequence[str]) -> list[tuple[str, float]]:
@@ -222,6 +228,7 @@ def factor_covariance(df: DataFrame, columns: Sequence[str]):
     import numpy as np
 
     k = len(columns)
+    df = df.select(*(F.col(c).cast("double").alias(c) for c in dict.fromkeys(columns))).dropna()  # all sums over the same rows
     row = df.agg(*(F.avg(c) for c in columns), *(F.covar_samp(a, b) for i, a in enumerate(columns) for b in columns[i:])).first()
     means, rest, cov = np.array(row[:k], float), iter(row[k:]), np.zeros((k, k))
     for i in range(k):
