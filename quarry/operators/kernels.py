@@ -114,17 +114,21 @@ def hurst(x: np.ndarray, least: int = 10) -> float | None:
 
 
 def sample_entropy(m: int = 2, r: float = 0.2) -> Callable[[np.ndarray], float | None]:
+    """-ln of the share of pairs of stretches of m + 1 values that lie within r deviations, over that of m values; each share is of its own
+    number of pairs (len - m of the longer ones, len - m + 1 of the shorter). 0 where there are no such pairs."""
+
     def f(x: np.ndarray) -> float | None:
         if len(x) < m + 2 or x.std() == 0:
             return 0.0 if len(x) and x.std() == 0 else None
         tolerance = r * x.std()
 
-        def matches(k: int) -> int:
-            v = np.lib.stride_tricks.sliding_window_view(x, k)[: len(x) - m]
-            return sum(int((np.abs(v[i + 1 :] - v[i]).max(axis=1) <= tolerance).sum()) for i in range(len(v) - 1))
+        def share(k: int) -> float:
+            v = np.lib.stride_tricks.sliding_window_view(x, k)
+            near = sum(int((np.abs(v[i + 1 :] - v[i]).max(axis=1) <= tolerance).sum()) for i in range(len(v) - 1))
+            return 2 * near / (len(v) * (len(v) - 1))
 
-        a, b = matches(m + 1), matches(m)
-        return -math.log(a / b) if a and b else None
+        a, b = share(m + 1), share(m)
+        return -math.log(a / b) if a and b else 0.0
 
     return f
 

@@ -9,44 +9,59 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quarry.operators._store import stored
 from quarry.operators.graph import checkpointed
 
 BLOCK = 2048
 
 
+def packed(df: DataFrame, id_col: str, columns: Sequence[str], name: str) -> tuple[DataFrame, int]:
+    """(name, ids, matrix) of the rows without nulls, about BLOCK to a block, written once; and how many blocks."""
+    clean = df.select(F.col(id_col).cast("long").alias("id"), *(F.col(c).cast("double").alias(c) for c in columns)).dropna()
+    n = max(1, -(-clean.count() // BLOCK))
+
+    def pack(key: tuple, part: pa.Table) -> pa.Table:
+        matrix = np.stack([part[c].to_numpy() for c in columns], axis=1)
+        return pa.table({name: pa.array([key[0].as_py()], pa.int32()), f"{name}_ids": [part["id"].to_numpy().tobytes()], f"{name}_matrix": [np.ascontiguousarray(matrix).tobytes()]})
+
+    dealt = clean.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(name))
+    return stored(dealt.applyInArrow(pack, f"{name} int, {name}_ids binary, {name}_matrix binary"), "blocks"), n
+
+
 def nearest(rows: DataFrame, queries: DataFrame, id_col: str, columns: Sequence[str], k: int, metric: str = "euclidean") -> DataFrame:
     """(query, id, distance, rank): the k nearest other rows of each query; ties to the smaller id. Rows with nulls take no part."""
     cols = list(columns)
+    (r, nr), (q, nq) = packed(rows, id_col, cols, "r"), packed(queries, id_col, cols, "q")
+    met = r.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))).join(q, "q").repartition(min(4096, nr * nq), "q", "r")
+    schema = pa.schema([("query", pa.int64()), ("id", pa.int64()), ("distance", pa.float64())])
+
+    def meet(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids, qids = np.frombuffer(row["r_ids"], np.int64), np.frombuffer(row["q_ids"], np.int64)
+                a, b = np.frombuffer(row["q_matrix"]).reshape(len(qids), -1), np.frombuffer(row["r_matrix"]).reshape(len(ids), -1)
+                order = np.argsort(ids, kind="stable")  # so that of equal distances the smaller id comes first
+                ids, b = ids[order], b[order]
+                for at in range(0, len(qids), 256):
+                    d = np.zeros((len(qids[at : at + 256]), len(ids)))
+                    for j in range(b.shape[1]):
+                        gap = b[:, j] - a[at : at + 256, j, None]
+                        d += gap * gap if metric == "euclidean" else np.abs(gap)
+                    d = np.sqrt(d) if metric == "euclidean" else d
+                    d[qids[at : at + 256, None] == ids] = np.inf
+                    best = np.argsort(d, axis=1, kind="stable")[:, :k]
+                    far = np.take_along_axis(d, best, axis=1)
+                    place, nth = np.nonzero(far < np.inf)
+                    yield pa.RecordBatch.from_arrays([pa.array(qids[at + place]), pa.array(ids[best[place, nth]]), pa.array(far[place, nth])], schema=schema)
 
-    def blocks(df: DataFrame, name: str) -> tuple[DataFrame, int]:
-        clean = df.select(F.col(id_col).cast("long").alias("id"), *(F.col(c).cast("double").alias(c) for c in cols)).dropna()
-        n = max(1, -(-clean.count() // BLOCK))
-        return clean.withColumn(name, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")), n
-
-    (r, nr), (q, nq) = blocks(rows, "r"), blocks(queries, "q")
-    r = r.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
-    q = q.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(nr - 1))))
-
-    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        a, b = left[cols].to_numpy(float), right[cols].to_numpy(float)
-        ids, qids = right["id"].to_numpy(), left["id"].to_numpy()
-        out = []
-        for i in range(len(a)):
-            gap = b - a[i]
-            d = np.sqrt((gap * gap).sum(axis=1)) if metric == "euclidean" else np.abs(gap).sum(axis=1)
-            other = np.flatnonzero(ids != qids[i])
-            best = other[np.lexsort((ids[other], d[other]))[:k]]
-            out.append(pd.DataFrame({"query": qids[i], "id": ids[best], "distance": d[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query": [], "id": [], "distance": []})
-
-    met = q.groupBy("q", "r").cogroup(r.groupBy("q", "r")).applyInPandas(meet, "query long, id long, distance double")
     w = W.partitionBy("query").orderBy("distance", "id")
-    return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    pairs = met.select("q_ids", "q_matrix", "r_ids", "r_matrix").mapInArrow(meet, "query long, id long, distance double")
+    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def knn_classify(train: DataFrame, queries: DataFrame, id_col: str, columns: Sequence[str], label: str, k: int) -> DataFrame:

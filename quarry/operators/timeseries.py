@@ -35,18 +35,23 @@ def windows(df: DataFrame, column: str, by: Sequence[str], order: Sequence[str],
 
 
 def ewma(df: DataFrame, column: str, by: Sequence[str], order: Sequence[str], alpha: float) -> DataFrame:
-    """(by, order, value, ewma): m = alpha x + (1 - alpha) m. A series is folded in order in one task, so it must fit there."""
-    rows = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(column).cast("double").alias("__x")))).alias("s"))
-    kind = rows.schema["s"].dataType.elementType
-    cell = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in kind.fields) + ", ewma: double"
-    none = F.array().cast(f"array<struct<{cell}>>")
-
-    def step(acc: Column, r: Column) -> Column:
-        m = F.when(acc["m"].isNull(), r["__x"]).otherwise(alpha * r["__x"] + (1 - alpha) * acc["m"])
-        return F.struct(m.alias("m"), F.concat(acc["out"], F.array(F.struct(*(r[f.name].alias(f.name) for f in kind.fields), m.alias("ewma")))).alias("out"))
-
-    folded = F.aggregate("s", F.struct(F.lit(None).cast("double").alias("m"), none.alias("out")), step)["out"]
-    return rows.select(*by, F.explode(folded).alias("r")).select(*by, *(f"r.{o}" for o in order), F.col("r.__x").alias(column), "r.ewma")
+    """(by, order, value, ewma): m = alpha x + (1 - alpha) m. Each series passes one task once, in order; a null value leaves m as it is."""
+    import pandas as pd
+
+    keep = [*by, *order, column]
+    rows = df.select(*by, *order, F.col(column).cast("double").alias(column))
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + ", ewma double"
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(list(order), kind="stable")
+        out, m = [], None
+        for x in part[column].tolist():
+            if x == x:
+                m = x if m is None else alpha * x + (1 - alpha) * m
+            out.append(m)
+        return part.assign(ewma=out)[[*keep, "ewma"]]
+
+    return rows.groupBy(*by).applyInPandas(run, schema)
 
 
 def autocorrelation(df: DataFrame, column: str, by: Sequence[str], order: Sequence[str], lags_: Sequence[int]) -> DataFrame:
