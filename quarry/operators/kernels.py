@@ -204,3 +204,130 @@ def binary_segmentation(penalty: float, least: int = 5) -> Callable[[np.ndarray]
         return float(cuts)
 
     return f
+
+
+def smoothed_line(x: np.ndarray, width: int, degree: int = 1, weights: np.ndarray | None = None) -> np.ndarray:
+    """Locally weighted lines: at each place a fit to its `width` nearest places, with tricube weights."""
+    n = len(x)
+    width, out, places = min(width, n), np.empty(n), np.arange(n)
+    for i in range(n):
+        lo = min(max(0, i - width // 2), n - width)
+        t = places[lo : lo + width] - i
+        w = np.clip(1 - np.abs(t / (np.abs(t).max() + 1.0)) ** 3, 0, None) ** 3
+        w = w * (weights[lo : lo + width] if weights is not None else 1)
+        a = np.vander(t, degree + 1, increasing=True).astype(float)
+        aw = a * w[:, None]
+        out[i] = np.linalg.lstsq(aw.T @ a, aw.T @ x[lo : lo + width], rcond=None)[0][0]
+    return out
+
+
+def seasonal_trend(x: np.ndarray, period: int, season_width: int = 7, trend_width: int | None = None, rounds: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(trend, season, rest) by local lines: the season from each phase's own series, less its running means; the trend from what is left."""
+    n = len(x)
+    trend, season = np.zeros(n), np.zeros(n)
+    if n < 2 * period:
+        return np.full(n, x.mean() if n else 0.0), season, x - (x.mean() if n else 0.0)
+    trend_width = trend_width or int(1.5 * period / (1 - 1.5 / season_width)) | 1
+
+    def run(v: np.ndarray, k: int) -> np.ndarray:
+        sums = np.concatenate([[0.0], np.cumsum(v)])
+        half = k // 2
+        lo, hi = np.maximum(0, np.arange(len(v)) - half), np.minimum(len(v), np.arange(len(v)) - half + k)
+        return (sums[hi] - sums[lo]) / (hi - lo)
+
+    for _ in range(rounds):
+        left = x - trend
+        cycle = np.empty(n)
+        for phase in range(period):
+            cycle[phase::period] = smoothed_line(left[phase::period], season_width)
+        season = cycle - smoothed_line(run(run(cycle, period), 3), trend_width)
+        trend = smoothed_line(x - season, trend_width)
+    return trend, season, x - trend - season
+
+
+def break_in_unit_root(x: np.ndarray, trim: float = 0.15, lags: int = 1) -> float | None:
+    """The least t of rho - 1 over all places of a shift in level: a unit root against one break at an unknown place."""
+    n = len(x)
+    d = np.diff(x)
+    if n < 12 + lags or x.std() == 0:
+        return None
+    best = None
+    t = np.arange(lags + 1, n)
+    base = [np.ones(len(t)), t.astype(float), x[t - 1], *(d[t - 1 - j] for j in range(1, lags + 1))]
+    for cut in range(max(lags + 2, int(trim * n)), min(n - 2, int((1 - trim) * n)) + 1):
+        a = np.column_stack([*base, (t >= cut).astype(float)])
+        inverse = np.linalg.pinv(a.T @ a)
+        b = inverse @ (a.T @ d[t - 1])
+        free = len(t) - a.shape[1]
+        if free <= 0:
+            return None
+        e = d[t - 1] - a @ b
+        s = math.sqrt(max(1e-300, float(e @ e) / free * inverse[2, 2]))
+        best = float(b[2] / s) if best is None else min(best, float(b[2] / s))
+    return best
+
+
+def seasonal_ar(period: int, order: int = 1, seasonal: int = 1, difference: int = 0, seasonal_difference: int = 0):
+    """One-step forecasts of a seasonal autoregression (lags 1 to order, and period to seasonal * period) of the differenced series, fitted by least squares."""
+
+    def f(x: np.ndarray) -> np.ndarray:
+        v, undo = x.astype(float), []
+        for lag, times in ((period, seasonal_difference), (1, difference)):
+            for _ in range(times):
+                undo.append((lag, v))
+                v = np.concatenate([np.full(min(lag, len(v)), np.nan), v[lag:] - v[:-lag]]) if len(v) > lag else np.full(len(v), np.nan)
+        lags = sorted({*range(1, order + 1), *(period * i for i in range(1, seasonal + 1))})
+        out = np.full(len(x), np.nan)
+        rows = np.arange(lags[-1], len(v)) if len(v) > lags[-1] else np.zeros(0, int)
+        if not len(rows):
+            return out
+        a = np.column_stack([np.ones(len(rows)), *(v[rows - k] for k in lags)])
+        ok = np.isfinite(a).all(axis=1) & np.isfinite(v[rows])
+        if ok.sum() <= a.shape[1]:
+            return out
+        b = np.linalg.lstsq(a[ok], v[rows][ok], rcond=None)[0]
+        out[rows] = a @ b
+        for lag, before in reversed(undo):
+            out[lag:] += before[:-lag]
+        return out
+
+    return f
+
+
+def shapiro_wilk(x: np.ndarray) -> tuple[float, float] | None:
+    """(W, p) of 3 to 5000 values, after Royston's approximations."""
+    from quarry.functions.special import norm_ppf, norm_sf
+
+    n = len(x)
+    x = np.sort(x.astype(float))
+    if not 3 <= n <= 5000 or x[-1] == x[0]:
+        return None
+    if n == 3:
+        a = np.array([-math.sqrt(0.5), 0.0, math.sqrt(0.5)])
+    else:
+        m = np.array([norm_ppf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
+        mm, u = float(m @ m), 1 / math.sqrt(n)
+        c = m / math.sqrt(mm)
+        # Royston's polynomials for the two outermost weights.
+        last = np.polyval([-2.706056, 4.434685, -2.071190, -0.147981, 0.221157, 0.0], u) + c[-1]
+        a = np.empty(n)
+        if n > 5:
+            second = np.polyval([-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, 0.0], u) + c[-2]
+            phi = (mm - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last**2 - 2 * second**2)
+            a[2:-2] = m[2:-2] / math.sqrt(phi)
+            a[1], a[-2] = -second, second
+        else:
+            phi = (mm - 2 * m[-1] ** 2) / (1 - 2 * last**2)
+            a[1:-1] = m[1:-1] / math.sqrt(phi)
+        a[0], a[-1] = -last, last
+    w = min(1.0, float(a @ x) ** 2 / float(((x - x.mean()) ** 2).sum()))
+    if n == 3:
+        return w, max(0.0, min(1.0, 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75)))))
+    if n <= 11:
+        g = -2.273 + 0.459 * n
+        z = -math.log(g - math.log(max(1e-300, 1 - w)))
+        mu, sigma = np.polyval([-0.0006714, 0.025054, -0.39978, 0.544], n), math.exp(np.polyval([-0.0020322, 0.062767, -0.77857, 1.3822], n))
+    else:
+        z, k = math.log(max(1e-300, 1 - w)), math.log(n)
+        mu, sigma = np.polyval([0.0038915, -0.083751, -0.31082, -1.5861], k), math.exp(np.polyval([0.0030302, -0.082676, -0.4803], k))
+    return w, norm_sf((z - mu) / sigma)

@@ -33,8 +33,8 @@ def packed(df: DataFrame, id_col: str, columns: Sequence[str], name: str) -> tup
     return stored(dealt.applyInArrow(pack, f"{name} int, {name}_ids binary, {name}_matrix binary"), "blocks"), n
 
 
-def nearest(rows: DataFrame, queries: DataFrame, id_col: str, columns: Sequence[str], k: int, metric: str = "euclidean") -> DataFrame:
-    """(query, id, distance, rank): the k nearest other rows of each query; ties to the smaller id. Rows with nulls take no part."""
+def nearest(rows: DataFrame, queries: DataFrame, id_col: str, columns: Sequence[str], k: int, metric: str = "euclidean", farthest: bool = False) -> DataFrame:
+    """(query, id, distance, rank): the k nearest (or farthest) other rows of each query; ties to the smaller id. Rows with nulls take no part."""
     cols = list(columns)
     (r, nr), (q, nq) = packed(rows, id_col, cols, "r"), packed(queries, id_col, cols, "q")
     met = r.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))).join(q, "q").repartition(min(4096, nr * nq), "q", "r")
@@ -53,13 +53,14 @@ def nearest(rows: DataFrame, queries: DataFrame, id_col: str, columns: Sequence[
                         gap = b[:, j] - a[at : at + 256, j, None]
                         d += gap * gap if metric == "euclidean" else np.abs(gap)
                     d = np.sqrt(d) if metric == "euclidean" else d
+                    d = -d if farthest else d
                     d[qids[at : at + 256, None] == ids] = np.inf
                     best = np.argsort(d, axis=1, kind="stable")[:, :k]
                     far = np.take_along_axis(d, best, axis=1)
                     place, nth = np.nonzero(far < np.inf)
-                    yield pa.RecordBatch.from_arrays([pa.array(qids[at + place]), pa.array(ids[best[place, nth]]), pa.array(far[place, nth])], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(qids[at + place]), pa.array(ids[best[place, nth]]), pa.array(np.abs(far[place, nth]))], schema=schema)
 
-    w = W.partitionBy("query").orderBy("distance", "id")
+    w = W.partitionBy("query").orderBy(F.desc("distance") if farthest else F.asc("distance"), "id")
     pairs = met.select("q_ids", "q_matrix", "r_ids", "r_matrix").mapInArrow(meet, "query long, id long, distance double")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

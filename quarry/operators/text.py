@@ -104,3 +104,111 @@ def business_flags(ts: Column, holidays: Sequence[str] = ()) -> dict[str, Column
 
 def to_zone(ts: Column, source: str, target: str) -> Column:
     return F.convert_timezone(F.lit(source), F.lit(target), ts)
+
+
+#: English suffixes of the steps of Porter's rules, and what they become; the longest that fits counts.
+STEP_2 = {"ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "abli": "able", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble"}
+STEP_3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
+STEP_4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
+
+
+def stem(word: str) -> str:
+    """Porter's stem of a lower-case English word."""
+    import re
+
+    def shape(x: str) -> str:
+        """c and v for the letters: y is a vowel after a consonant."""
+        out = ""
+        for i, ch in enumerate(x):
+            out += "v" if ch in "aeiou" or (ch == "y" and i and out[-1] == "c") else "c"
+        return out
+
+    def measure(x: str) -> int:
+        return len(re.findall("v+c+", shape(x)))
+
+    def ends_double(x: str) -> bool:
+        return len(x) > 1 and x[-1] == x[-2] and shape(x)[-1] == "c"
+
+    def ends_cvc(x: str) -> bool:
+        return len(x) > 2 and shape(x)[-3:] == "cvc" and x[-1] not in "wxy"
+
+    def longest(x: str, suffixes) -> str | None:
+        return max((s for s in suffixes if x.endswith(s)), key=len, default=None)
+
+    if len(word) <= 2 or not word.isascii() or not word.isalpha():
+        return word
+    if word.endswith(("sses", "ies")):
+        word = word[:-2]
+    elif word.endswith("s") and not word.endswith("ss"):
+        word = word[:-1]
+    if word.endswith("eed"):
+        word = word[:-1] if measure(word[:-3]) > 0 else word
+    else:
+        for s in ("ed", "ing"):
+            if word.endswith(s) and "v" in shape(word[: -len(s)]):
+                word = word[: -len(s)]
+                if word.endswith(("at", "bl", "iz")):
+                    word += "e"
+                elif ends_double(word) and word[-1] not in "lsz":
+                    word = word[:-1]
+                elif measure(word) == 1 and ends_cvc(word):
+                    word += "e"
+                break
+    if word.endswith("y") and "v" in shape(word[:-1]):
+        word = word[:-1] + "i"
+    for table in (STEP_2, STEP_3):
+        s = longest(word, table)
+        if s and measure(word[: -len(s)]) > 0:
+            word = word[: -len(s)] + table[s]
+    s = longest(word, STEP_4)
+    if s and measure(word[: -len(s)]) > 1 and (s != "ion" or word[-4:-3] in ("s", "t")):
+        word = word[: -len(s)]
+    if word.endswith("e") and (measure(word[:-1]) > 1 or (measure(word[:-1]) == 1 and not ends_cvc(word[:-1]))):
+        word = word[:-1]
+    if word.endswith("ll") and measure(word) > 1:
+        word = word[:-1]
+    return word
+
+
+def stemmed(df: DataFrame, id_col: str, tokens: Column, name: str = "stems") -> DataFrame:
+    """(id, stems): each row's tokens, in order, as stems. Only distinct tokens are stemmed, and joined back."""
+    import pandas as pd
+
+    each = df.select(F.col(id_col), F.posexplode_outer(tokens).alias("p", "w"))
+    words = each.select("w").where("w IS NOT NULL").distinct()
+
+    def run(batches):
+        for part in batches:
+            yield pd.DataFrame({"w": part["w"], "s": [stem(w.lower()) for w in part["w"]]})
+
+    table = words.mapInPandas(run, "w string, s string")
+    joined = each.join(table, "w", "left").groupBy(id_col).agg(F.array_sort(F.collect_list(F.when(F.col("p").isNotNull(), F.struct("p", "s")))).alias("x"))
+    return joined.select(id_col, F.transform("x", lambda v: v["s"]).alias(name))
+
+
+def polarity(tokens: Column, scores: dict[str, float], negations: Sequence[str] = ("not", "no", "never")) -> Column:
+    """The mean score of the words that have one; after a negation a score's sign turns. 0 where no word has one."""
+    table = F.create_map(*(F.lit(x) for kv in scores.items() for x in kv))
+    lower = F.transform(tokens, lambda w: F.lower(w))
+
+    def of(t: Column) -> Column:
+        value = lambda w, i: F.element_at(table, w) * F.when((i > 0) & F.get(t, i - 1).isin(list(negations)), -1.0).otherwise(1.0)
+        found = F.filter(F.transform(t, value), lambda v: v.isNotNull())
+        return F.when(F.size(found) > 0, F.aggregate(found, F.lit(0.0), lambda a, v: a + v) / F.size(found)).otherwise(0.0)
+
+    return _once(lower, of)
+
+
+#: English endings and what they usually mark.
+ENDINGS = (("ing", "VERB"), ("ed", "VERB"), ("ly", "ADV"), ("ous", "ADJ"), ("ful", "ADJ"), ("able", "ADJ"), ("ive", "ADJ"), ("tion", "NOUN"), ("ment", "NOUN"), ("ness", "NOUN"), ("ity", "NOUN"))
+CLOSED = {"the": "DET", "a": "DET", "an": "DET", "this": "DET", "that": "DET", "of": "ADP", "in": "ADP", "on": "ADP", "to": "ADP", "with": "ADP", "for": "ADP", "and": "CONJ", "or": "CONJ", "but": "CONJ", "he": "PRON", "she": "PRON", "it": "PRON", "they": "PRON", "we": "PRON", "i": "PRON", "you": "PRON", "is": "VERB", "are": "VERB", "was": "VERB", "were": "VERB", "be": "VERB", "has": "VERB", "have": "VERB"}
+
+
+def word_class(word: Column) -> Column:
+    """A rule tagger: closed classes by a list, numbers by their digits, the rest by ending; NOUN where none fits."""
+    w = F.lower(word)
+    table = F.create_map(*(F.lit(x) for kv in CLOSED.items() for x in kv))
+    out = F.lit("NOUN")
+    for ending, tag in reversed(ENDINGS):
+        out = F.when(w.endswith(ending) & (F.length(w) > len(ending) + 1), tag).otherwise(out)
+    return F.coalesce(F.element_at(table, w), F.when(w.rlike("^[0-9][0-9.,]*$"), "NUM").otherwise(out))
