@@ -220,3 +220,13 @@ def quantile_drift(df: DataFrame, value: str, is_reference: Column, quantiles: S
     t = df.agg(*(F.percentile(F.when(is_reference if r else ~is_reference, F.col(value)), F.lit(q)).alias(f"{'r' if r else 'c'}{i}") for i, q in enumerate(quantiles) for r in (1, 0)))
     cells = F.array(*(F.struct(F.lit(float(q)).alias("q"), F.col(f"r{i}").alias("reference"), F.col(f"c{i}").alias("current")) for i, q in enumerate(quantiles)))
     return t.select(F.explode(cells).alias("s")).select("s.*").withColumn("drifted", F.abs(F.col("current") - F.col("reference")) > threshold)
+
+
+def csv_faults(lines: DataFrame, column: str, fields: int, delimiter: str = ",", quote: str = '"') -> DataFrame:
+    """lines with n_fields and fault: `quotes` where a quote is left open, `fields` where their number is not as asked, else null. Delimiters inside quotes do not count."""
+    x = F.coalesce(F.col(column), F.lit(""))
+    q = "\\" + quote
+    bare = F.regexp_replace(x, f"{q}[^{q}]*{q}", "")
+    n = F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit(""))) + 1
+    fault = F.when(bare.contains(quote), "quotes").when(n != fields, "fields")
+    return lines.withColumns({"n_fields": n, "fault": fault})

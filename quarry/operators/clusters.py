@@ -260,3 +260,86 @@ def markov_clusters(edges: DataFrame, inflation: float = 2.0, rounds: int = 8, l
         sharp = normalised(spread.withColumn("w", F.pow("w", F.lit(inflation)))).where(F.col("w") >= least)
         flow = checkpointed(normalised(sharp))
     return flow.where("w > 0.01").groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("cluster"))
+
+
+def _costs(rows: DataFrame, sets: Sequence[Centres], root: bool = False) -> list[float]:
+    """The sum of distances to the nearest centre under each of several sets of centres, from one pass."""
+    def one(s: Centres) -> Column:
+        d = s.distances()
+        low = F.least(*d) if len(d) > 1 else d[0]
+        return F.sum(F.sqrt(low) if root else low)
+
+    return [float(v or 0.0) for v in rows.agg(*(one(s) for s in sets)).first()]
+
+
+def medoids(df: DataFrame, id_col: str, columns: Sequence[str], k: int, neighbours: int = 12, rounds: int = 10, seed: int = 0) -> Centres:
+    """Medoids by randomised swaps: each round tries `neighbours` sets with one medoid exchanged for a row drawn by its hash, all in one pass over all rows, and takes the
+    best while it is better."""
+    import random as rnd
+
+    rows = df.dropna(subset=list(columns))
+    now, rng = initial_centres(rows, id_col, columns, k, "random", seed), rnd.Random(seed)
+    cost = _costs(rows, [now], root=True)[0]
+    for i in range(rounds):
+        drawn = initial_centres(rows, id_col, columns, neighbours, "random", seed + 1 + i).points
+        tries = []
+        for p in drawn:
+            at = rng.randrange(len(now.points))
+            tries.append(Centres(now.columns, (*now.points[:at], p, *now.points[at + 1 :])))
+        found = _costs(rows, tries, root=True)
+        best = min(range(len(found)), key=lambda j: (found[j], j)) if found else None
+        if best is None or found[best] >= cost - 1e-12:
+            break
+        now, cost = tries[best], found[best]
+    return now
+
+
+def genetic_means(df: DataFrame, id_col: str, columns: Sequence[str], k: int, size: int = 8, generations: int = 6, seed: int = 0) -> Centres:
+    """A population of sets of centres: the better half has offspring that take each centre from either parent, one Lloyd step improves each child, and all are
+    judged in one pass."""
+    import random as rnd
+
+    rng, rows = rnd.Random(seed), df.dropna(subset=list(columns))
+    people = [initial_centres(rows, id_col, columns, k, "random", seed + i) for i in range(size)]
+    fitness = _costs(rows, people)
+    for _ in range(generations):
+        order = sorted(range(len(people)), key=lambda i: (fitness[i], i))[: size // 2]
+        children = []
+        for _ in range(size - len(order)):
+            a, b = (people[rng.choice(order)] for _ in range(2))
+            mixed = tuple(rng.choice((p, q)) for p, q in zip(sorted(a.points), sorted(b.points), strict=True))
+            children.append(k_means(rows, Centres(tuple(columns), mixed), rounds=1))
+        people = [people[i] for i in order] + children
+        fitness = [fitness[i] for i in order] + _costs(rows, children)
+    return people[min(range(len(people)), key=lambda i: (fitness[i], i))]
+
+
+def consensus(df: DataFrame, runs: Sequence[Centres]) -> DataFrame:
+    """(a, b, n_a, n_b, share): classes of rows of the same labels in all runs, and the share of runs that put two of them together; rows' own pairs follow from it."""
+    names = [f"__{i}" for i in range(len(runs))]
+    t = df.withColumns({n: nearest_place(c.distances()) for n, c in zip(names, runs, strict=True)}).dropna(subset=names).groupBy(F.array(*names).alias("labels")).agg(F.count("*").alias("n"))
+    a, b = t.select(F.col("labels").alias("a"), F.col("n").alias("n_a")), t.select(F.col("labels").alias("b"), F.col("n").alias("n_b"))
+    same = F.aggregate(F.zip_with("a", "b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, v: s + v)
+    return a.crossJoin(F.broadcast(b)).select("a", "b", "n_a", "n_b", (same / len(runs)).alias("share"))
+
+
+def quick_shift(df: DataFrame, id_col: str, x: str, y: str, width: float) -> DataFrame:
+    """(id, cluster) of two columns: every row moves to the nearest row of higher density (rows within `width`; ties to the smaller id) that lies within `width`, and on;
+    a cluster bears the id of the row where the way ends. Candidates come from a grid, and ways are halved by jumping."""
+    from quarry.operators.graph import checkpointed
+
+    p = df.select(F.col(id_col).cast("long").alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna().withColumns({"cx": F.floor(F.col("x") / width), "cy": F.floor(F.col("y") / width)})
+    around = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    other = p.withColumn("o", F.explode(around)).select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"))
+    gap = (F.col("x") - F.col("bx")) * (F.col("x") - F.col("bx")) + (F.col("y") - F.col("by")) * (F.col("y") - F.col("by"))
+    near = checkpointed(p.join(other, ["cx", "cy"]).where(gap <= width * width).select(F.col("id").alias("a"), "b", gap.alias("d")))
+    density = checkpointed(near.groupBy("a").agg(F.count("*").alias("n")))
+    both = near.where("a <> b").join(density, "a").join(density.select(F.col("a").alias("b"), F.col("n").alias("m")), "b")
+    higher = (F.col("m") > F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("b") < F.col("a")))
+    way = both.where(higher).groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("to"))
+    to = checkpointed(density.select("a").join(way, "a", "left").select("a", F.coalesce("to", "a").alias("to")))
+    while True:
+        new = checkpointed(to.join(to.select(F.col("a").alias("to"), F.col("to").alias("next")), "to").select("a", F.col("next").alias("to")))
+        if new.join(to, ["a", "to"], "left_anti").isEmpty():
+            return new.select(F.col("a").alias("id"), F.col("to").alias("cluster"))
+        to = new

@@ -238,3 +238,50 @@ def drift_points(df: DataFrame, key: str, order: Sequence[str], value: str, delt
         return pd.DataFrame({key: [part[key].iloc[0]] * len(at), "place": at})
 
     return df.select(key, *order, value).groupBy(key).applyInPandas(run, f"{key} {dict(df.dtypes)[key]}, place long")
+
+
+class LinearThompson:
+    """An arm's reward is linear in a context, with a normal posterior of its weights; the arm whose drawn reward is largest is played."""
+
+    def __init__(self, arms: int, size: int, noise: float = 1.0, seed: int = 0) -> None:
+        import numpy as np
+
+        self.rng, self.noise = np.random.default_rng(seed), noise
+        self.precision = [np.eye(size) for _ in range(arms)]
+        self.pull = [np.zeros(size) for _ in range(arms)]
+
+    def choose(self, context: Sequence[float]) -> int:
+        import numpy as np
+
+        x, drawn = np.asarray(context, float), []
+        for a, b in zip(self.precision, self.pull, strict=True):
+            cov = np.linalg.inv(a)
+            drawn.append(float(x @ self.rng.multivariate_normal(cov @ b, self.noise**2 * cov)))
+        return int(np.argmax(drawn))
+
+    def update(self, arm: int, context: Sequence[float], reward: float) -> None:
+        import numpy as np
+
+        x = np.asarray(context, float)
+        self.precision[arm] = self.precision[arm] + np.outer(x, x)
+        self.pull[arm] = self.pull[arm] + reward * x
+
+    def update_from(self, log: DataFrame, arm: str, context: Sequence[str], reward: str) -> None:
+        """A whole log at once: sums of products by arm, from one pass."""
+        pairs = [(i, j) for i in range(len(context)) for j in range(i, len(context))]
+        for r in log.groupBy(arm).agg(*(F.sum(F.col(context[i]) * F.col(context[j])) for i, j in pairs), *(F.sum(F.col(c) * F.col(reward)) for c in context)).collect():
+            for (i, j), v in zip(pairs, r[1:], strict=False):
+                self.precision[r[0]][i, j] += v
+                self.precision[r[0]][j, i] += v if i != j else 0.0
+            self.pull[r[0]] = self.pull[r[0]] + [float(v) for v in r[1 + len(pairs) :]]
+
+
+def robustness(df: DataFrame, id_col: str, columns: Sequence[str], score: Callable[[DataFrame], float], sizes: Sequence[float] = (0.01, 0.05, 0.1), seed: int = 0) -> list[tuple[float, float]]:
+    """(size, score) of rows whose columns are moved by up to size deviations either way; size 0 first."""
+    from quarry.operators.sampling import unit
+
+    spread = df.agg(*(F.stddev_pop(c) for c in columns)).first()
+    out = [(0.0, score(df))]
+    for s in sizes:
+        out.append((s, score(df.withColumns({c: F.col(c) + (unit(id_col, seed + i) * 2 - 1) * s * float(d or 0) for i, (c, d) in enumerate(zip(columns, spread, strict=True))}))))
+    return out

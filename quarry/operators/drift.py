@@ -112,3 +112,28 @@ def gaussian_ranks(df: DataFrame, column: str, id_col: str, name: str = "z") ->
     # Abramowitz and Stegun 26.2.23; absolute error below 4.5e-4.
     tail = t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t * t * t)
     return average_ranks(df.select(id_col, column), column, name="__r").select(id_col, column, F.when(p < 0.5, -tail).otherwise(tail).alias(name))
+
+
+def synthetic_quality(real: DataFrame, made: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(name, ks, mean_gap, correlation_gap) of made rows against real ones: the largest gap of distribution functions, that of means in deviations, and the
+    largest gap of the column's correlations with the others."""
+    from quarry.operators.statistics import factor_covariance, ks_two_sample
+
+    both = real.select(*columns, F.lit(True).alias("__r")).unionByName(made.select(*columns, F.lit(False).alias("__r")))
+    import numpy as np
+
+    (m1, c1), (m2, c2) = factor_covariance(real, columns), factor_covariance(made, columns)
+    cor = [c / np.outer(np.sqrt(np.diag(c)), np.sqrt(np.diag(c))) for c in (c1, c2)]
+    gap = np.abs(cor[0] - cor[1])
+    np.fill_diagonal(gap, 0)
+    rows = [(c, float(ks_two_sample(both, c, F.col("__r")).first()["d"]), float(abs(m1[i] - m2[i]) / math.sqrt(c1[i, i])), float(gap[i].max()) if len(columns) > 1 else 0.0) for i, c in enumerate(columns)]
+    return real.sparkSession.createDataFrame(rows, "name string, ks double, mean_gap double, correlation_gap double")
+
+
+def stationarity(df: DataFrame, column: str, by: Sequence[str], order: Sequence[str], lag: int = 2) -> DataFrame:
+    """(by, kpss, t): the statistic against a level (large: not stationary) beside that against a unit root (far below zero: stationary)."""
+    from quarry.operators.timeseries import kpss
+
+    level = kpss(df, column, by, order, lag)
+    name = next(c for c in level.columns if c not in by and c != "n")
+    return level.select(*by, F.col(name).alias("kpss")).join(phillips_perron(df, column, by, order).select(*by, "t"), list(by), "full")

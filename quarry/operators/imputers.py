@@ -108,3 +108,58 @@ def factorised(cells: DataFrame, rank: int = 5, penalty: float = 0.1) -> DataFra
     t = cells.select(F.col("i").cast("int"), F.col("j").cast("int"), F.col("v").cast("float"))
     model = ALS(userCol="i", itemCol="j", ratingCol="v", rank=rank, regParam=penalty, seed=1, coldStartStrategy="drop").fit(t)
     return model.transform(t)
+
+
+def multiple(df: DataFrame, id_col: str, columns: Sequence[str], draws: int = 5, rounds: int = 3) -> list[DataFrame]:
+    """Several completed tables: gaps get their regression value and a normal residual of the fit's deviation, drawn by the hash of the id, so that tables differ as much as
+    what is missing leaves open. See regressors.pooled."""
+    from quarry.operators.regressors import unit
+
+    out = []
+    filled = by_regression(df, columns, rounds)
+    named = filled.select(id_col, *(F.col(c).alias(f"__v_{c}") for c in columns))
+    joined = df.join(named, id_col)
+    spread = {}
+    for c in columns:
+        others = [o for o in columns if o != c]
+        means, cov = factor_covariance(df.where(F.col(c).isNotNull()).join(named, id_col).select(*(F.col(f"__v_{o}").alias(o) for o in others), c), [*others, c])
+        b = cov[:-1, -1]
+        spread[c] = float(np.sqrt(max(0.0, cov[-1, -1] - b @ np.linalg.pinv(cov[:-1, :-1]) @ b)))
+    for d in range(draws):
+        made = {}
+        for i, c in enumerate(columns):
+            # Two uniform numbers make one normal one.
+            u, v = (unit(id_col, 7919 * d + 31 * i + s) for s in (1, 2))
+            normal = F.sqrt(-2 * F.log(u + 1e-18)) * F.cos(2 * np.pi * v)
+            made[c] = F.coalesce(F.col(c), F.col(f"__v_{c}") + spread[c] * normal)
+        out.append(joined.withColumns(made).drop(*(f"__v_{c}" for c in columns)))
+    return out
+
+
+def chains_agree(means: Sequence[Sequence[float]], variances: Sequence[Sequence[float]], most: float = 1.1) -> tuple[float, bool]:
+    """The potential scale reduction of several chains of estimates (rows), and whether it is near one; variances are those within each estimate's table."""
+    m, n = len(means), len(means[0])
+    own = np.array(means, float)
+    between = n * own.mean(axis=1).var(ddof=1) if m > 1 else 0.0
+    within = float(own.var(axis=1, ddof=1).mean()) if n > 1 else float(np.mean(variances))
+    ratio = float(np.sqrt(((n - 1) / n * within + between / n) / within)) if within else 1.0
+    return ratio, ratio <= most
+
+
+def by_trees(df: DataFrame, columns: Sequence[str], rounds: int = 2, trees: int = 10, depth: int = 5) -> DataFrame:
+    """Chained random forests: gaps start at the means, then each column's gaps are predicted from the others. Each step's table is written, so plans do not grow."""
+    from quarry.operators._store import stored
+    from quarry.operators.models import assembled, fit_ml
+
+    cols = list(columns)
+    known = df.withColumns({f"__k_{c}": F.col(c).isNotNull() for c in cols})
+    gaps = df.agg(*(F.count_if(F.col(c).isNull()) for c in cols)).first()
+    now = stored(fill(known.withColumns({c: F.col(c).cast("double") for c in cols}), fit_means(df, cols)), "filled")
+    for _ in range(rounds):
+        for c, n in zip(cols, gaps, strict=True):
+            if n:
+                others = [o for o in cols if o != c]
+                model = fit_ml(now.where(f"__k_{c}"), "forest_regressor", others, c, numTrees=trees, maxDepth=depth, seed=1)
+                guessed = model.transform(assembled(now, others))
+                now = stored(guessed.withColumn(c, F.when(F.col(f"__k_{c}"), F.col(c)).otherwise(F.col("prediction"))).drop("features", "prediction"), "filled")
+    return now.drop(*(f"__k_{c}" for c in cols))

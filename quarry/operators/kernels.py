@@ -331,3 +331,27 @@ def shapiro_wilk(x: np.ndarray) -> tuple[float, float] | None:
         z, k = math.log(max(1e-300, 1 - w)), math.log(n)
         mu, sigma = np.polyval([0.0038915, -0.083751, -0.31082, -1.5861], k), math.exp(np.polyval([0.0030302, -0.082676, -0.4803], k))
     return w, norm_sf((z - mu) / sigma)
+
+
+def time_warped(knots: int = 4, strength: float = 0.2, seed: int = 0) -> Callable[[np.ndarray], np.ndarray]:
+    """The series read at places that run faster and slower: steps between knots are drawn around one, the ends stay."""
+
+    def f(x: np.ndarray) -> np.ndarray:
+        if len(x) < 3:
+            return x
+        speed = np.exp(strength * np.random.default_rng(seed).standard_normal(knots + 1))
+        at = np.concatenate([[0.0], np.cumsum(speed)])
+        way = np.interp(np.linspace(0, knots + 1, len(x)), np.arange(knots + 2), at / at[-1]) * (len(x) - 1)
+        return np.interp(way, np.arange(len(x)), x)
+
+    return f
+
+
+def jittered(noise: float = 0.05, scale: float = 0.1, seed: int = 0) -> Callable[[np.ndarray], np.ndarray]:
+    """The series times a number near one, with normal noise of a share of its deviation."""
+
+    def f(x: np.ndarray) -> np.ndarray:
+        rng = np.random.default_rng(seed)
+        return x * (1 + scale * rng.standard_normal()) + noise * (x.std() if len(x) else 0.0) * rng.standard_normal(len(x))
+
+    return f

@@ -145,3 +145,34 @@ def gamma_likelihood(df: DataFrame, value: str) -> tuple[float, float]:
         slope = 1 / k - (psi(k + 1e-4) - psi(k - 1e-4)) / 2e-4
         k -= (math.log(k) - psi(k) - s) / slope
     return k, mean / k
+
+
+def lbfgs(f: Objective, start: Sequence[float], gradient: Callable[[Vector], Vector] | None = None, memory: int = 8, rounds: int = 200, tolerance: float = 1e-8) -> Vector:
+    """Quasi-Newton steps from the last few changes of point and gradient, with a backtracking line search."""
+    grad = gradient or (lambda x: numeric_gradient(f, x))
+    x, past = np.array(start, float), []
+    g = grad(x)
+    for _ in range(rounds):
+        if np.linalg.norm(g) < tolerance:
+            break
+        d, used = -g, []
+        for s, y in reversed(past):
+            a = (s @ d) / (s @ y)
+            used.append(a)
+            d = d - a * y
+        if past:
+            s, y = past[-1]
+            d = d * (s @ y) / (y @ y)
+        for (s, y), a in zip(past, reversed(used), strict=True):
+            d = d + (a - (y @ d) / (s @ y)) * s
+        if d @ g >= 0:
+            d, past = -g, []
+        t, fx = 1.0, f(x)
+        while f(x + t * d) > fx + 1e-4 * t * (g @ d) and t > 1e-12:
+            t /= 2
+        new = grad(x + t * d)
+        s, y = t * d, new - g
+        x, g = x + s, new
+        if s @ y > 1e-12:
+            past = [*past, (s, y)][-memory:]
+    return x

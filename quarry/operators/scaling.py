@@ -132,3 +132,20 @@ def row_normalised(df: DataFrame, columns: Sequence[str], norm: str = "l2", suff
     total = {"l1": lambda: sum((F.abs(x) for x in xs), F.lit(0.0)), "l2": lambda: F.sqrt(sum((x * x for x in xs), F.lit(0.0))), "max": lambda: F.greatest(*(F.abs(x) for x in xs)) if len(xs) > 1 else F.abs(xs[0])}[norm]()
     by = F.when(total == 0, 1.0).otherwise(total)
     return df.withColumns({c + suffix: F.col(c) / by for c in columns})
+
+
+def fit_adaptive(df: DataFrame, columns: Sequence[str], most_skew: float = 1.0, most_outliers: float = 0.01) -> tuple[Affine, dict[str, str]]:
+    """Each column by what its values ask for: median and quartiles where more than `most_outliers` lie beyond 1.5 interquartile ranges, min and max where it leans
+    (|skewness| over `most_skew`), else mean and deviation; and which was taken."""
+    robust, spread = fit_robust(df, columns), column_stats(df, columns, ("q25", "q75"))
+    far = {c: (spread[c]["q25"] - 1.5 * (spread[c]["q75"] - spread[c]["q25"]), spread[c]["q75"] + 1.5 * (spread[c]["q75"] - spread[c]["q25"])) for c in columns}
+    row = df.agg(*(F.skewness(c) for c in columns), *(F.avg((~F.col(c).between(*far[c])).cast("double")) for c in columns)).first()
+    plain, ends, parts, taken = fit_standard(df, columns), fit_min_max(df, columns), {}, {}
+    for i, c in enumerate(columns):
+        if (row[len(columns) + i] or 0) > most_outliers:
+            parts[c], taken[c] = robust.parts[c], "robust"
+        elif abs(row[i] or 0) > most_skew:
+            parts[c], taken[c] = ends.parts[c], "min_max"
+        else:
+            parts[c], taken[c] = plain.parts[c], "standard"
+    return Affine(parts), taken

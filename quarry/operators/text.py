@@ -212,3 +212,17 @@ def word_class(word: Column) -> Column:
     for ending, tag in reversed(ENDINGS):
         out = F.when(w.endswith(ending) & (F.length(w) > len(ending) + 1), tag).otherwise(out)
     return F.coalesce(F.element_at(table, w), F.when(w.rlike("^[0-9][0-9.,]*$"), "NUM").otherwise(out))
+
+
+def topics(df: DataFrame, id_col: str, tokens: Column, k: int, words: int = 2000, least: int = 2, rounds: int = 20) -> tuple[DataFrame, DataFrame]:
+    """(topic, word, weight) and (id, shares): latent Dirichlet allocation over the commonest words."""
+    from pyspark.ml.clustering import LDA
+    from pyspark.ml.feature import CountVectorizer
+
+    rows = df.select(F.col(id_col), F.coalesce(tokens, F.array().cast("array<string>")).alias("__t"))
+    counter = CountVectorizer(inputCol="__t", outputCol="features", vocabSize=words, minDF=float(least)).fit(rows)
+    model = LDA(k=k, maxIter=rounds, seed=1, optimizer="online").fit(counter.transform(rows))
+    found = model.describeTopics(10).withColumn("x", F.explode(F.arrays_zip("termIndices", "termWeights")))
+    names = df.sparkSession.createDataFrame(list(enumerate(counter.vocabulary)), "termIndices int, word string")
+    listed = found.select("topic", F.col("x.termIndices").alias("termIndices"), F.col("x.termWeights").alias("weight")).join(F.broadcast(names), "termIndices").select("topic", "word", "weight")
+    return listed, model.transform(counter.transform(rows)).select(id_col, F.col("topicDistribution").alias("shares"))
