@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators.quantiles import exact_quantiles
+
 
 def equal_width_edges(df: DataFrame, column: str, n: int) -> list[float]:
     lo, hi = df.agg(F.min(column).cast("double"), F.max(column).cast("double")).first()
@@ -15,10 +17,11 @@ def equal_width_edges(df: DataFrame, column: str, n: int) -> list[float]:
 
 
 def quantile_edges(df: DataFrame, column: str, n: int, exact: bool = True) -> list[float]:
-    """Distinct quantiles at i / n; exact ones buffer a group's values, approximate ones do not."""
+    """Distinct quantiles at i / n; exact ones take three passes, approximate ones one."""
     at = [i / n for i in range(n + 1)]
-    f = F.percentile(F.col(column).cast("double"), F.array(*map(F.lit, at))) if exact else F.percentile_approx(F.col(column).cast("double"), at, 100_000)
-    return sorted(set(df.agg(f).first()[0]))
+    if exact:
+        return sorted({v for v in exact_quantiles(df, [column], at)[column] if v is not None})
+    return sorted(set(df.agg(F.percentile_approx(F.col(column).cast("double"), at, 100_000)).first()[0] or []))
 
 
 def digitize(x: Column, edges: Sequence[float], right: bool = False) -> Column:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quarry.operators.quantiles import exact_quantiles
+
 
 def null_if_nan(df: DataFrame) -> DataFrame:
     """NaN in floating columns, and the text 'nan', become null: done once at the door."""
@@ -49,7 +51,7 @@ def fit_means(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
 
 
 def fit_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
-    return df.agg(*(F.percentile(c, F.lit(0.5)).alias(c) for c in columns)).first().asDict()
+    return {c: v[0] for c, v in exact_quantiles(df, columns, [0.5]).items()}
 
 
 def fit_modes(df: DataFrame, columns: Sequence[str]) -> dict[str, object]:

@@ -25,6 +25,14 @@ def regression(y: Column, p: Column) -> dict[str, Column]:
     }
 
 
+def regression_scores(df: DataFrame, y: Column, p: Column) -> DataFrame:
+    """One row of the metrics above; the median of errors is an exact quantile of bounded memory, the others share one pass."""
+    from quarry.operators.quantiles import exact_quantiles
+
+    middle = exact_quantiles(df, {"e": F.abs(y - p)}, [0.5])["e"][0]
+    return df.agg(*((F.lit(middle).cast("double") if k == "median_ae" else v).alias(k) for k, v in regression(y, p).items()))
+
+
 def log_error(y: Column, p: Column, eps: float = 1e-8) -> Column:
     """Mean of (ln(y + eps) - ln(p + eps)) squared."""
     d = F.log(y + eps) - F.log(p + eps)

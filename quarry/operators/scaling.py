@@ -9,16 +9,21 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators.quantiles import exact_quantiles
+
 STATISTICS = {
     "mean": lambda c: F.avg(c), "std": lambda c: F.stddev_pop(c), "min": lambda c: F.min(c), "max": lambda c: F.max(c),
-    "median": lambda c: F.percentile(c, F.lit(0.5)), "q25": lambda c: F.percentile(c, F.lit(0.25)), "q75": lambda c: F.percentile(c, F.lit(0.75)), "n": lambda c: F.count(c),
+    "n": lambda c: F.count(c),
 }
+QUANTILES = {"median": 0.5, "q25": 0.25, "q75": 0.75}
 
 
 def column_stats(df: DataFrame, columns: Sequence[str], wanted: Sequence[str]) -> dict[str, dict[str, float]]:
-    """One pass for all columns and statistics."""
-    row = df.agg(*(STATISTICS[s](F.col(c).cast("double")).alias(f"{c}|{s}") for c in columns for s in wanted)).first()
-    return {c: {s: row[f"{c}|{s}"] for s in wanted} for c in columns}
+    """One pass for all columns and statistics, and those of exact_quantiles where quantiles are wanted."""
+    plain, at = [s for s in wanted if s in STATISTICS], [s for s in wanted if s in QUANTILES]
+    row = df.agg(*(STATISTICS[s](F.col(c).cast("double")).alias(f"{c}|{s}") for c in columns for s in plain)).first() if plain else {}
+    found = exact_quantiles(df, columns, [QUANTILES[s] for s in at]) if at else {}
+    return {c: {s: row[f"{c}|{s}"] for s in plain} | dict(zip(at, found.get(c, []), strict=True)) for c in columns}
 
 
 @dataclass(frozen=True)
@@ -73,7 +78,7 @@ def z_outliers(df: DataFrame, column: str, threshold: float = 3.0, modified: boo
         z = (F.col(column) - s["mean"]) / (s["std"] or 1e-10)
     else:
         median = column_stats(df, [column], ("median",))[column]["median"]
-        mad = df.agg(F.percentile(F.abs(F.col(column) - median), F.lit(0.5))).first()[0]
+        mad = exact_quantiles(df, {"gap": F.abs(F.col(column) - median)}, [0.5])["gap"][0]
         z = 0.6745 * (F.col(column) - median) / (mad or 1e-10)
     return df.withColumn(name, F.coalesce(F.abs(z) > threshold, F.lit(False)))
 

@@ -11,16 +11,18 @@ from pyspark.sql import Window as W
 from pyspark.sql.types import NumericType
 
 from quarry.functions import special
+from quarry.operators.quantiles import exact_quantiles
 from quarry.operators.relational import dense_number, running_sums
 
 
 def summary(df: DataFrame, columns: Sequence[str], quantiles: Sequence[float] = (0.25, 0.5, 0.75), sample_std: bool = False) -> DataFrame:
-    """A row for each column: count, mean, std, min, max and quantiles, in one pass."""
+    """A row for each column: count, mean, std, min, max, in one pass, and exact quantiles."""
+    found = exact_quantiles(df, columns, quantiles)
 
     def one(c: str) -> list[Column]:
         x = F.col(c).cast("double")
         std = F.stddev_samp(x) if sample_std else F.stddev_pop(x)
-        return [F.count(x), F.avg(x), std, F.min(x), F.max(x), *(F.percentile(x, F.lit(q)) for q in quantiles)]
+        return [F.count(x), F.avg(x), std, F.min(x), F.max(x), *(F.lit(q).cast("double") for q in found[c])]
 
     names = ["n", "mean", "std", "min", "max", *(f"q{round(q * 100)}" for q in quantiles)]
     cell = F.explode(F.array(*(F.struct(F.lit(c).alias("name"), *(F.col(f"`{c}|{n}`").cast("double").alias(n) for n in names)) for c in columns)))
@@ -39,8 +41,8 @@ def moments(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
 def median_absolute_deviation(df: DataFrame, column: str, center: float | None = None) -> float:
     x = F.col(column).cast("double")
     if center is None:
-        center = df.agg(F.percentile(x, F.lit(0.5))).first()[0]
-    return df.agg(F.percentile(F.abs(x - center), F.lit(0.5))).first()[0]
+        center = exact_quantiles(df, [column], [0.5])[column][0]
+    return exact_quantiles(df, {"gap": F.abs(x - center)}, [0.5])["gap"][0]
 
 
 def average_ranks(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "rank") -> DataFrame:

@@ -177,7 +177,8 @@ _YP = "(SELECT l_extendedprice y, l_quantity * 1000 + 1 p FROM lineitem)"
 def _(t):
     x = t("lineitem").select(F.col("l_extendedprice").alias("y"), (F.col("l_quantity") * 1000 + 1).alias("p"))
     digits = {"mse": 2, "mae": 4, "rmse": 4, "median_ae": 4}
-    return x.agg(*(F.round(e, digits.get(k, 6)).alias(k) for k, e in m.regression(F.col("y"), F.col("p")).items()))
+    found = m.regression_scores(x, F.col("y"), F.col("p"))
+    return found.select(*(F.round(k, digits.get(k, 6)).alias(k) for k in found.columns))
 
 
 @query("deviances", f"SELECT round(2 * avg(y * ln(y / p) - y + p), 3) AS poisson, round(2 * avg(ln(p / y) + y / p - 1), 6) AS gamma, round(2 * avg(y ** 0.5 / (-0.5 * 0.5) - y * p ** -0.5 / -0.5 + p ** 0.5 / 0.5), 4) AS tweedie, round(avg((ln(y + 1e-8) - ln(p + 1e-8)) ** 2), 6) AS msle FROM {_YP}")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry import sources, streaming
 from quarry.functions import special
-from quarry.operators import binning, cleaning, encoding, features, graph, models, relational, scaling, statistics, text, timeseries
+from quarry.operators import binning, cleaning, encoding, features, graph, models, quantiles, relational, scaling, statistics, text, timeseries
 
 
 def test_special_functions_have_known_values():
@@ -191,3 +191,15 @@ def test_least_squares_counts_rows_without_nulls(spark):
     whole = models.fit_linear(rows, ["a", "b"], "y", ridge=2.0)
     clean = models.fit_linear(rows.dropna(), ["a", "b"], "y", ridge=2.0)
     assert whole == clean
+
+
+def test_exact_quantiles_equal_numpy(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for x in (rng.standard_normal(30_011), np.repeat([1.0, 2.0, 5.0], [9000, 1, 700]), rng.exponential(size=7) ** 9, np.array([4.0]), np.concatenate([np.zeros(20_000), rng.random(9)]), np.arange(10_000.0)):
+        df = spark.createDataFrame([(float(v), float(-v)) for v in x] + [(None, None)], "a double, b double").repartition(3)
+        at = [0.0, 0.003, 0.25, 0.5, 0.75, 0.9997, 1.0]
+        got = quantiles.exact_quantiles(df, {"a": F.col("a"), "b": F.col("b")}, at)
+        assert got["a"] == pytest.approx(np.quantile(x, at).tolist(), rel=1e-9) and got["b"] == pytest.approx(np.quantile(-x, at).tolist(), rel=1e-9)
+    assert quantiles.exact_quantiles(df.where("a < -1"), ["a"], [0.5]) == {"a": [None]}
