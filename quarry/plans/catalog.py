@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.plans import analysis, deeper, fitted, kernels, learned, more_sql, relational, samples, series  # noqa: F401  they register their queries
+from quarry.plans import analysis, deeper, fitted, kernels, learned, moving, more_sql, relational, samples, series  # noqa: F401  they register their queries
 from quarry.plans.registry import ORACLES, QUERIES
 
 

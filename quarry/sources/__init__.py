@@ -27,5 +27,5 @@ def write_table(df: DataFrame, path: str, kind: str | None = None, mode: str = "
     kind = kind or kind_of(path)
     writer = df.write.format(kind).mode(mode).options(**options)
     if kind == "csv":
-        writer = writer.option("header", True)
+        writer = writer.option("header", True).option("sep", "\t" if path.endswith(".tsv") else ",")
     (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
