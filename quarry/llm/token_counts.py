@@ -6,8 +6,9 @@ each, give the probabilities. They are a table of one row a token.
 
 A segmentation of a pre-token costs the sum of -log2 of its tokens' probabilities, in units of 2 ** -20; the cheapest counts, on a
 tie the one of fewer tokens. Every node of the trie holds the best (cost, tokens) of its prefix, computed once from the nodes above it and
-the tokens that an automaton finds to end there; a pre-token's count is read at its last node. The trie of a Python worker is
-emptied when it reaches a bound, and holds the first DEPTH bytes of a pre-token at most, so memory does not grow with the corpus.
+the tokens that an automaton finds to end there, and the automaton's state, from which the nodes below go on; a pre-token's count is
+read at its last node. The trie of a Python worker is emptied when it reaches a bound, and holds the first DEPTH bytes of a pre-token
+at most, so memory does not grow with the corpus; the counts of short pre-tokens and stretches are remembered up to a bound.
 
 Defined cases: a null or empty text has no tokens; a very long text is a slab of its own, and a pre-token of any length is counted
 whole; an empty table gives an empty result; repeated rows count alike; other columns are ignored.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import collections
 import math
+import operator
 
 import ahocorasick
 import pyarrow as pa
@@ -24,13 +26,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm._common import documents, map_rows, parts, written
-from quarry.llm.pretokens import STRETCH, Memory, Splitter, public_path, public_pattern, read_ranks
+from quarry.llm.pretokens import Memory, Splitter, public_path, public_pattern, read_ranks, stretches
 
 NODES, DEPTH = 600_000, 128
 REMEMBERED = 400_000
 UNIT = 1 << 20
-#: More than the tokens of any pre-token; and more than any cost.
-MANY, WORST = 1 << 32, 1 << 200
+#: More than the tokens of any pre-token.
+MANY = 1 << 32
+#: Stands between pre-tokens; a byte is a character below it.
+APART = "\u0100"
 
 
 def learnt_costs(ranks: dict[bytes, int], times: dict[int, int]) -> dict[bytes, int]:
@@ -39,66 +43,142 @@ def learnt_costs(ranks: dict[bytes, int], times: dict[int, int]) -> dict[bytes,
     return {t: round((whole - math.log2(times.get(r, 0) + 1)) * UNIT) for t, r in ranks.items()}
 
 
+class Automaton:
+    """Aho-Corasick over the tokens, state by state, so that a trie's node can hold its state and go on from there."""
+
+    def __init__(self, costs: dict[bytes, int]) -> None:
+        self.goto: dict[int, int] = {}  # state << 8 | byte
+        own: list[tuple[tuple[int, int], ...]] = [()]
+        for token, cost in costs.items():
+            state = 0
+            for b in token:
+                after = self.goto.get(state << 8 | b)
+                if after is None:
+                    self.goto[state << 8 | b] = after = len(own)
+                    own.append(())
+                state = after
+            own[state] = ((len(token), cost * MANY + 1),)
+        below: dict[int, list[int]] = collections.defaultdict(list)
+        for key in self.goto:
+            below[key >> 8].append(key)
+        self.fail, self.ends = [0] * len(own), own  # ends: (bytes, MANY * cost + 1) of each token that ends in a state
+        level = [0]
+        while level:
+            deeper = []
+            for key in (k for state in level for k in below.get(state, ())):
+                after = self.goto[key]
+                if key >> 8:
+                    self.fail[after] = self.step(self.fail[key >> 8], key & 255)
+                    own[after] += own[self.fail[after]]
+                deeper.append(after)
+            level = deeper
+
+    def step(self, state: int, b: int) -> int:
+        goto, fail = self.goto, self.fail
+        while (after := goto.get(state << 8 | b)) is None:  # the first state has a way on for every byte
+            state = fail[state]
+        return after
+
+
 class Trie:
     """costs: an integer cost for each token; every single byte must be one."""
 
     def __init__(self, costs: dict[bytes, int], bound: int = NODES) -> None:
         self.bound = bound
-        self.longest = max(map(len, costs))
-        self.tokens = ahocorasick.Automaton()
-        for token, cost in costs.items():
-            self.tokens.add_word(token.decode("latin-1"), (len(token) - 1, cost * MANY + 1))
-        self.tokens.make_automaton()
+        self.tokens = Automaton(costs)
         self.reset()
 
     def reset(self) -> None:
         self.child: dict[int, int] = {}
         self.best = [0]  # of each node's prefix: MANY * cost + tokens
+        self.state = [0]  # the automaton's, after each node's prefix
 
     def count(self, word: bytes) -> int:
         """Tokens of the cheapest segmentation; adds the nodes that the trie lacks."""
-        child, best = self.child, self.best
-        if len(best) > self.bound:
+        if len(self.best) > self.bound:
             self.reset()
-            child, best = self.child, self.best
-        at, states = 0, [0]
+        child, best, state_of = self.child, self.best, self.state
+        at, path = 0, [0]
         for b in word[:DEPTH]:
             node = child.get(at << 8 | b)
             if node is None:
                 break
             at = node
-            states.append(best[at])
-        depth, size = len(states) - 1, len(word)
-        if depth < size:
-            states += [WORST] * (size - depth)
-            for end, (back, own) in self.tokens.iter(word.decode("latin-1"), max(0, depth + 1 - self.longest)):
-                if end >= depth:
-                    total = states[end - back] + own
-                    if total < states[end + 1]:
-                        states[end + 1] = total
-            node = len(best)
-            best += states[depth + 1 : DEPTH + 1]
-            for b in word[depth:DEPTH]:
-                child[at << 8 | b] = at = node
-                node += 1
-        return states[-1] % MANY
+            path.append(best[at])
+        depth = len(path) - 1
+        if depth < len(word):
+            step, ends, state = self.tokens.step, self.tokens.ends, state_of[at]
+            for b in word[depth:]:
+                state = step(state, b)
+                path.append(min([path[-size] + own for size, own in ends[state]]))
+                if len(path) <= DEPTH + 1:
+                    child[at << 8 | b] = at = len(best)
+                    best.append(path[-1])
+                    state_of.append(state)
+        return path[-1] % MANY
+
+
+class Pieces(Memory):
+    """Tokens of each pre-token."""
+
+    def __init__(self, trie: Trie, bound: int) -> None:
+        super().__init__(bound)
+        self.trie = trie
+
+    def __missing__(self, piece: str) -> int:
+        n = self.trie.count(piece.encode())
+        if len(piece) <= DEPTH:
+            self[piece] = n
+        return n
+
+
+class Stretches(Memory):
+    """Of each stretch its pre-tokens << 40 | tokens."""
+
+    def __init__(self, pieces: Pieces, split: Splitter, bound: int) -> None:
+        super().__init__(bound)
+        self.pieces, self.split = pieces, split
+
+    def __missing__(self, stretch: str) -> int:
+        found = self.split(stretch)
+        both = len(found) << 40 | sum(map(self.pieces.__getitem__, found))
+        if len(stretch) <= DEPTH:
+            self[stretch] = both
+        return both
 
 
 class Counter:
     def __init__(self, costs: dict[bytes, int], pattern: str) -> None:
-        self.trie, self.split, self.stretches = Trie(costs), Splitter(pattern), Memory(REMEMBERED)
+        self.pieces = Pieces(Trie(costs), REMEMBERED)
+        self.stretches = Stretches(self.pieces, Splitter(pattern), REMEMBERED)
 
     def counts(self, text: str) -> tuple[int, int]:
         """Pre-tokens and tokens of a text."""
-        known, found = self.stretches, STRETCH.findall(text)
-        known.room()
-        for s in [s for s in set(found) if s not in known]:
-            pieces = self.split(s)
-            known[s] = len(pieces) << 40 | sum(self.trie.count(p.encode()) for p in pieces)
-        both = sum(map(known.__getitem__, found))
+        self.stretches.room()
+        self.pieces.room()
+        both = sum(map(self.stretches.__getitem__, stretches(text)))
         return both >> 40, both & (1 << 40) - 1
 
 
+def cut_longest(pieces: dict[str, int], ranks: dict[bytes, int], longest: ahocorasick.Automaton) -> collections.Counter:
+    """Pre-tokens and how often each occurs -> how often each rank is cut off them, the longest token first.
+
+    Pre-tokens that occur equally often are cut in one run, with a character that no token holds between them.
+    """
+    times: collections.Counter = collections.Counter()
+    alike = collections.defaultdict(list)
+    for piece, n in pieces.items():
+        raw = piece.encode()
+        if raw in ranks:
+            times[ranks[raw]] += n
+        else:
+            alike[n].append(raw.decode("latin-1"))
+    for n, some in alike.items():
+        for rank, k in collections.Counter(map(operator.itemgetter(1), longest.iter_long(APART.join(some)))).items():
+            times[rank] += n * k
+    return times
+
+
 def token_times(docs: DataFrame, text_col: str, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """(rank, times): how often each token is cut off all texts' pre-tokens, the longest first; a row for each token that occurs."""
     shared = docs.sparkSession.sparkContext.broadcast((ranks, pattern))
@@ -110,20 +190,21 @@ def token_times(docs: DataFrame, text_col: str, ranks: dict[bytes, int], pattern
             longest.add_word(token.decode("latin-1"), rank)
         longest.make_automaton()
         times: collections.Counter = collections.Counter()
-        stretches: collections.Counter = collections.Counter()
+        seen: collections.Counter = collections.Counter()
 
         def settle() -> None:
-            for s, n in stretches.items():
+            pieces: dict[str, int] = collections.defaultdict(int)
+            for s, n in seen.items():
                 for piece in split(s):
-                    for _, rank in longest.iter_long(piece.encode().decode("latin-1")):
-                        times[rank] += n
-            stretches.clear()
+                    pieces[piece] += n
+            seen.clear()
+            times.update(cut_longest(pieces, ranks_, longest))
 
         for batch in batches:
             for part in parts(batch, 512):
                 for t in part.column(0).to_pylist():
-                    stretches.update(STRETCH.findall(t or ""))
-                if len(stretches) > REMEMBERED:
+                    seen.update(stretches(t or ""))
+                if len(seen) > REMEMBERED:
                     settle()
         settle()
         yield pa.RecordBatch.from_pydict({"rank": pa.array(times.keys(), pa.int32()), "times": pa.array(times.values(), pa.int64())})
